@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +30,7 @@ from .common import written
 from .components import components
 
 #: Values of balls that a task spells out at a time.
-AT_ONCE = 3_000_000
+AT_ONCE = 400_000
 
 
 def _bits(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+@lru_cache(maxsize=256)
 def _masks(bits: int, most: int) -> np.ndarray:
     """All values of up to ``most`` ones among the low ``bits``."""
     return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(bits), n)], np.uint64)
@@ -101,9 +102,9 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _meet(fps: np.ndarray, own: np.ndarray, spare: np.ndarray, bits: int, label: np.ndarray) -> None:
     """Unites those of ``own`` whose balls share a value; ``spare``: flips that each has left for the low ``bits``."""
-    sizes = np.array([len(_masks(bits, n)) if bits < 12 else sum(math.comb(bits, j) for j in range(n + 1)) for n in range(3)])
     if len(own) < 2:
         return
+    sizes = np.array([sum(math.comb(bits, j) for j in range(n + 1)) for n in range(3)])
     if bits > 4 and sizes[spare].sum() > AT_ONCE:
         low = bits - 4
         nibble = (fps[own] >> np.uint64(low)) & np.uint64(15)
@@ -155,7 +156,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, per_prefix: int = 1000) ->
     home = F.shiftrightunsigned("fp", 64 - k)
     # a null id alone in its node has no number to link by and stays alone
     balls = nodes.filter("id is not null").select("fp", "id", F.explode(F.transform(flips, lambda m: home.bitwiseXOR(m))).alias("prefix"))
-    edges = balls.groupBy("prefix").applyInPandas(partial(_in_prefix, k=k), "a long, b long")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _in_prefix(pdf, k)
+
+    edges = balls.groupBy("prefix").applyInPandas(link, "a long, b long")
     found = nodes.join(components(edges), F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

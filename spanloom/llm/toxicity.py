@@ -2,7 +2,9 @@
 
 A sentence's probability is logistic in the words it holds; a document's is the noisy-or of its sentences, one minus
 the product of their complements. Only documents have labels, so the gradient of the document's loss is shared out
-over its sentences. The words that count are chosen by Spark over the sample (a bounded list, by log-odds), the model is
+over its sentences. A leak, one more cause for each document whatever its sentences, takes up labels that no sentence
+explains, so that they don't raise every sentence's base rate (which would condemn long documents); scores leave it
+out. The words that count are chosen by Spark over the sample (a bounded list, by log-odds), the model is
 fitted on a bounded sample of labelled rows, and scoring covers every whole text and names the sentences that offend.
 
 Defined cases: a null text counts as empty; a text without sentences scores 0; rows without a label, and labels
@@ -62,26 +64,27 @@ class Model:
         return [(i, float(p), s) for i, p, s in scored if p >= least]
 
 
-def fit_bags(bags: list[list[list[int]]], plain: list[int], labels: list[int], size: int, rounds: int = 400, rate: float = 0.1, penalty: float = 2e-3) -> tuple[float, np.ndarray]:
+def fit_bags(bags: list[list[list[int]]], plain: list[int], labels: list[int], size: int, rounds: int = 400, rate: float = 0.1, penalty: float = 3e-4) -> tuple[float, np.ndarray]:
     """(bias, weights) by gradient steps. A bag: its sentences that hold known words (as indices); plain: how many hold none."""
     doc = np.array([d for d, ss in enumerate(bags) for _ in ss], np.int64)
     sent = [s for ss in bags for s in ss]
     word = np.array([w for s in sent for w in s], np.int64)
     of = np.repeat(np.arange(len(sent)), [len(s) for s in sent]) if sent else np.empty(0, np.int64)
     y, n0 = np.array(labels, float), np.array(plain, float)
-    theta, m, v = np.zeros(size + 1), 0.0, 0.0
-    theta[-1] = -4.0
+    theta, m, v = np.zeros(size + 2), 0.0, 0.0
+    theta[size:] = -8.0, -3.0  # base rate of a sentence, leak of a document
     for t in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(of, theta[word], len(sent))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
-        clean = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)) - n0 * np.logaddexp(0, theta[-1]))
+        base, leak = theta[size:]
+        z = base + np.bincount(of, theta[word], len(sent))
+        p, p0, pl = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-base)), 1 / (1 + np.exp(-leak))
+        clean = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)) - n0 * np.logaddexp(0, base) - np.logaddexp(0, leak))
         share = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)  # d loss / d log(1 - P), negated
         g = p * share[doc]
-        grad = np.append(np.bincount(word, g[of], size), g.sum() + (share * n0).sum() * p0) / max(1, len(y))
-        grad[:-1] += penalty * np.sign(theta[:-1]) * 0.2 + penalty * 0.02 * theta[:-1]
+        grad = np.append(np.bincount(word, g[of], size), [g.sum() + (share * n0).sum() * p0, share.sum() * pl]) / max(1, len(y))
+        grad[:size] += penalty * (np.sign(theta[:size]) + 0.1 * theta[:size])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return float(theta[-1]), theta[:-1]
+    return float(theta[size]), theta[:size]
 
 
 def training_rows(doc_id: Column) -> Column:
@@ -112,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary:
     t, c = F.col("t"), F.col("n") - F.col("t")
     odds = F.log((t + 0.5) / (bad - t + 0.5)) - F.log((c + 0.5) / (n - bad - c + 0.5))
     error = F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    top = counts.filter(f"n >= {max(3, n // 2000)}").select("word", F.abs(odds / error).alias("z")).orderBy(F.desc("z"), "word").limit(vocabulary)
+    top = counts.filter(f"n >= {max(3, n // 250)}").select("word", F.abs(odds / error).alias("z")).orderBy(F.desc("z"), "word").limit(vocabulary)
     place = {r.word: i for i, r in enumerate(top.collect())}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
