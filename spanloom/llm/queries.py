@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, exact_dedup, licenses, packing, simhash, tokenfile, toxicity, warc
+from . import chat, embed_dedup, exact_dedup, licenses, packing, piece_match, simhash, tokenfile, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -32,6 +38,10 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.window_digests(chat.chat_windows(turns.union(probe)))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_match.encode_and_decode(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -63,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_best_fit_packing,
         op2_token_files,
         op3_chat_windows,
+        op4_sentencepiece,
         op5_exact_dedup,
         op6_toxicity,
         op7_warc,
