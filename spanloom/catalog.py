@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import gate_queries, lang_queries, plan_queries, plural_queries, site_queries, span_queries, token_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
