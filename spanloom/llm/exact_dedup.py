@@ -149,7 +149,7 @@ def classes(keyed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
         dead = deleted.select(F.col("doc_id").alias("keep_id")).distinct()
         live, off = rows.join(dead, "keep_id", "left_anti"), rows.join(dead, "keep_id", "left_semi")
         # a deleted row is inserted under the least id, so that it never stays, and taken off again
-        off = off.select("digest", "n_bytes", F.lit(LEAST).alias("keep_id"), F.explode(F.array(F.lit(1), F.lit(-1))).cast("long").alias("n"))
+        off = off.select("digest", "n_bytes", F.lit(LEAST).alias("keep_id"), F.explode(F.expr("array(1L, -1L)")).alias("n"))
         rows = live.select(*off.columns).union(off)
     partial = rows.mapInArrow(_combine, CLASSES)
     return partial.repartition("digest").mapInArrow(_combine, CLASSES)
@@ -173,4 +173,4 @@ def exact_dedup(docs: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each text."""
     stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("stays"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"])

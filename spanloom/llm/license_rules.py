@@ -31,6 +31,7 @@ bsd-2-clause | bsd | (?:simplified|freebsd|2[\s-]+clause|two[\s-]+clause)\s+bsd|
 bsd-3-clause | bsd | (?:new|modified|revised|3[\s-]+clause|three[\s-]+clause)\s+bsd|bsd[\s-]+3[\s-]+clause | bsd-3-clause
 bsd-4-clause | bsd | (?:original|4[\s-]+clause|four[\s-]+clause)\s+bsd|bsd[\s-]+4[\s-]+clause | bsd-4-clause
 0bsd | bsd | (?:zero[\s-]+clause|0[\s-]+clause)\s+bsd|bsd[\s-]+zero[\s-]+clause | 0bsd
+creative-commons | creative commons | creative\s+commons(?:\s+licen[cs]e)? | cc-[a-z0-9.-]+
 cc-by | cc by | cc[\s-]+by(?![\s-]+(?:nc|nd|sa)) | cc-by-[1234]\.[05]
 cc-by-sa | cc by | cc[\s-]+by[\s-]+sa | cc-by-sa-[1234]\.[05]
 cc-by-nc | cc by | cc[\s-]+by[\s-]+nc(?![\s-]+(?:nd|sa)) | cc-by-nc-[1234]\.[05]
@@ -42,7 +43,6 @@ cc-by-sa | creative commons | creative\s+commons\s+attribution[\s-]+share[\s-]*a
 cc-by-nc | creative commons | creative\s+commons\s+attribution[\s-]+non[\s-]*commercial(?![\s-]+(?:no|share)) | cc-by-nc
 cc-by-nd | creative commons | creative\s+commons\s+attribution[\s-]+no[\s-]*deriv(?:ative)?s? | cc-by-nd
 cc0 | cc0 | cc0(?:\s+1\.0)?(?:\s+universal)? | cc0-1\.0
-creative-commons | creative commons | creative\s+commons(?:\s+licen[cs]e)? | cc-[a-z0-9.-]+
 unlicense | unlicen | (?:the\s+)?unlicen[cs]e | unlicense
 wtfpl | wtfpl | wtfpl|do\s+what\s+the\s+f\S+\s+you\s+want\s+to\s+public\s+licen[cs]e | wtfpl
 zlib | zlib | zlib(?:/libpng)?[\s-]+licen[cs]e | zlib
@@ -112,10 +112,10 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
     """
     apart = r"(?<![a-z0-9]){}(?![a-z0-9])"
     grant = r"(?:licen[cs]ed|released|distributed|available|provided|published|used|covered)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:{})(?:\s+licen[cs]e)?"
-    out = []
-    for line in LICENCES.splitlines():
-        label, keyword, name, ids = (x.strip() for x in line.split(" | "))
-        out.append((label, "spdx-license-identifier", rf"spdx-license-identifier:\s*(?:{ids})(?![a-z0-9.+-])", 3, 0.99))
+    licences = [[x.strip() for x in line.split(" | ")] for line in LICENCES.splitlines()]
+    # of tags that match the same characters the first counts, so families come behind their versions
+    out = [(label, "spdx-license-identifier", rf"spdx-license-identifier:\s*(?:{ids})(?![a-z0-9.+-])", 3, 0.99) for label, _, _, ids in reversed(licences)]
+    for label, keyword, name, _ in licences:
         for word in [keyword, "cc-by"] if keyword == "cc by" else [keyword]:
             out.append((label, word, apart.format(grant.format(name)), 2, 0.95))
             out.append((label, word, apart.format(f"(?:{name})"), 1, 0.8))

@@ -168,4 +168,4 @@ def near_duplicates(docs: DataFrame, words: int = 4, per_prefix: int = 1000) ->
 def drop_near_copies(docs: DataFrame, words: int = 4) -> DataFrame:
     """``docs`` with one document of each component: the one that names it."""
     stay = near_duplicates(docs, words).filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
