@@ -7,6 +7,9 @@ and a vector goes to its own cell and to the next ones that it reaches upwards;
 in exactly one cell. A pair is taken up in the first block that admits it, and verified by its cosine in double
 precision over the whole vectors, there and then: tasks hand on counts and spanning forests, never pairs.
 
+How many coordinates are cut is told by the vectors themselves: cells are counted for each number of cuts, and the one
+with the least work (rows handed over, pairs compared) is taken, so that more vectors get finer cells.
+
 Equal vectors are joined as one class with a count. Crowded cells are dealt to tiles of bounded size, pair of chunks by
 pair of chunks; there are as many cells as geometry allows, not as the corpus asks for.
 
@@ -33,7 +36,9 @@ from .simhash import _merge
 
 BLOCK = 8
 #: Vectors of a chunk: a tile compares two chunks at most.
-CHUNK = 6144
+CHUNK = 12288
+#: Coordinates of a block that may be cut, and how many compared pairs handing over one row is worth.
+CUTS, ROW_WORK = range(1, 6), 8000
 SLACK = 1e-9
 
 
@@ -149,18 +154,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = written(usable(vectors).withColumn("key", F.sha2("raw", 256)), "vectors")
     classes = rows.filter("raw is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("raw").alias("raw"))
     classes = written(classes, "classes")
-    cut = int(np.clip(math.log2(max(classes.count(), 2)) / 4 - 1, 1, 4))  # finer cells for more vectors
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw in _by_length(batch.column(0).to_pylist()):
-                for b, _, codes in _spread(_rotated(raw), threshold, cut):
-                    cells, n = np.unique(codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), raw.shape[1], np.int32)), pa.array(np.full(len(cells), b, np.int32)), pa.array(cells), pa.array(n)], ["dims", "block", "cell", "n"])
+            for _, raw in _by_length(batch.column(0).to_pylist()):
+                rot = _rotated(raw)
+                for cut in CUTS:
+                    for b, _, codes in _spread(rot, threshold, cut):
+                        cells, n = np.unique(codes, return_counts=True)
+                        cols = (np.full(len(cells), x, np.int32) for x in (cut, raw.shape[1], b))
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cells), pa.array(n)], ["cut", "dims", "block", "cell", "n"])
 
-    counts = classes.select("raw").mapInArrow(count, "dims int, block int, cell long, n long").groupBy("dims", "block", "cell").agg(F.sum("n").alias("n"))
     # cells of a unit ball: their number depends on dimensions and radius alone, and only crowded ones are named
-    crowded = {(r.dims, r.block, r.cell): -(-r.n // CHUNK) for r in counts.filter(F.col("n") > CHUNK).collect()}
+    counts = classes.select("raw").mapInArrow(count, "cut int, dims int, block int, cell long, n long")
+    counts = written(counts.groupBy("cut", "dims", "block", "cell").agg(F.sum("n").alias("n")), "cells")
+    n = F.col("n").cast("double")
+    works = counts.groupBy("cut").agg(F.sum(n * F.ceil(n / CHUNK) * ROW_WORK + n * n / 2).alias("work"))
+    best = works.orderBy("work", "cut").first()  # a row for each number of cuts
+    cut = best.cut if best else CUTS[0]
+    crowded = {(r.dims, r.block, r.cell): -(-r.n // CHUNK) for r in counts.filter((F.col("cut") == cut) & (F.col("n") > CHUNK)).collect()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
