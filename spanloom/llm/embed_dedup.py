@@ -124,11 +124,16 @@ def _tile(pdf: pd.DataFrame, threshold: float, cut: int) -> pd.DataFrame:
     first = int((chunk == i).sum()) if i != j else len(ids)
     left, right = np.arange(first), np.arange(len(ids)) if i == j else np.arange(first, len(ids))
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
-        near = squares[some][:, None] + squares[right][None, :] - 2 * (x[some] @ x[right].T) <= radii[block] + SLACK
+    # along a coordinate that isn't cut, only what lies within the radius is compared
+    sweep = x[:, min(cut, x.shape[1] - 1)]
+    left, right = (side[np.argsort(sweep[side], kind="stable")] for side in (left, right))
+    ahead, reach = sweep[right], math.sqrt(radii[block]) + SLACK
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        facing = right[np.searchsorted(ahead, sweep[some[0]] - reach) : np.searchsorted(ahead, sweep[some[-1]] + reach, side="right")]
+        near = squares[some][:, None] + squares[facing][None, :] - 2 * (x[some] @ x[facing].T) <= radii[block] + SLACK
         a, b = np.nonzero(near)
-        a, b = some[a], right[b]
+        a, b = some[a], facing[b]
         if i == j:
             a, b = a[a < b], b[a < b]
         for k in range(0, len(a), 20_000):
