@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-# Label | keyword that every match holds | the licence's name | its SPDX identifiers.
+# Keywords: every match holds all the words of one of the alternatives (set apart by /), whatever stands between them.
+# Label | keyword | the licence's name | its SPDX identifiers.
 LICENCES = r"""
-mit | mit | (?:mit|expat)[\s-]+licen[cs]e|licen[cs]ed\s+under\s+mit | mit
+mit | mit/expat | (?:mit|expat)[\s-]+licen[cs]e|licen[cs]ed\s+under\s+mit | mit
 mit-0 | mit | mit[\s-]+no[\s-]+attribution | mit-0
 x11 | x11 | x11[\s-]+licen[cs]e | x11
 isc | isc | isc[\s-]+licen[cs]e | isc
@@ -44,13 +45,13 @@ cc-by-nc | creative commons | creative\s+commons\s+attribution[\s-]+non[\s-]*com
 cc-by-nd | creative commons | creative\s+commons\s+attribution[\s-]+no[\s-]*deriv(?:ative)?s? | cc-by-nd
 cc0 | cc0 | cc0(?:\s+1\.0)?(?:\s+universal)? | cc0-1\.0
 unlicense | unlicen | (?:the\s+)?unlicen[cs]e | unlicense
-wtfpl | wtfpl | wtfpl|do\s+what\s+the\s+f\S+\s+you\s+want\s+to\s+public\s+licen[cs]e | wtfpl
+wtfpl | wtfpl/what public | wtfpl|do\s+what\s+the\s+f\S+\s+you\s+want\s+to\s+public\s+licen[cs]e | wtfpl
 zlib | zlib | zlib(?:/libpng)?[\s-]+licen[cs]e | zlib
 libpng | libpng | libpng[\s-]+licen[cs]e | libpng(?:-2\.0)?
 boost | boost | boost\s+software\s+licen[cs]e | bsl-1\.0
 artistic | artistic | (?:perl\s+)?artistic\s+licen[cs]e | artistic-[12]\.0(?:-perl|-cl8)?
 perl | perl | same\s+terms\s+as\s+perl(?:\s+itself)? | artistic-1\.0-perl
-python | python | (?:python|psf)(?:\s+software\s+foundation)?\s+licen[cs]e | (?:psf|python)-2\.0(?:\.1)?
+python | python/psf | (?:python|psf)(?:\s+software\s+foundation)?\s+licen[cs]e | (?:psf|python)-2\.0(?:\.1)?
 ruby | ruby | ruby(?:'s)?\s+licen[cs]e | ruby
 php | php | php\s+licen[cs]e | php-3\.0?1?
 postgresql | postgresql | postgresql\s+licen[cs]e | postgresql
@@ -72,7 +73,7 @@ icu | icu | icu\s+licen[cs]e | icu
 odbl | open database | (?:odc\s+)?open\s+database\s+licen[cs]e | odbl-1\.0
 odc-by | open data commons | open\s+data\s+commons\s+attribution | odc-by-1\.0
 pddl | open data commons | open\s+data\s+commons\s+public\s+domain | pddl-1\.0
-cdla | data agreement | community\s+data\s+licen[cs]e\s+agreement|cdla\s+data\s+agreement | cdla-(?:permissive|sharing)-[12]\.0
+cdla | community agreement/cdla | community\s+data\s+licen[cs]e\s+agreement|cdla\s+data\s+agreement | cdla-(?:permissive|sharing)-[12]\.0
 elastic | elastic | elastic\s+licen[cs]e | elastic-2\.0
 sspl | server side | server\s+side\s+public\s+licen[cs]e | sspl-1\.0
 bsl | business source | business\s+source\s+licen[cs]e | busl-1\.1
@@ -91,17 +92,17 @@ sleepycat | sleepycat | sleepycat\s+licen[cs]e | sleepycat
 NOTICES = r"""
 all-rights-reserved | rights reserved | all\s+rights\s+reserved
 public-domain | public domain | (?:released|dedicated|placed|put)?\s*(?:in|into|to)\s+the\s+public\s+domain
-mit | permission is hereby | permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining
-isc | permission to use | permission\s+to\s+use,?\s+copy,?\s+modify,?\s+and(?:/or)?\s+distribute\s+this\s+software
-bsd | redistribution and use | redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms
-warranty-disclaimer | as is | (?:provided|distributed|licensed)\s+(?:on\s+an\s+)?["']?as[\s-]+is["']?
+mit | permission hereby | permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining
+isc | permission use | permission\s+to\s+use,?\s+copy,?\s+modify,?\s+and(?:/or)?\s+distribute\s+this\s+software
+bsd | redistribution use | redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms
+warranty-disclaimer | provided/distributed/licensed | (?:provided|distributed|licensed)\s+(?:on\s+an\s+)?["']?as[\s-]+is["']?
 non-commercial | commercial | (?:for\s+)?non[\s-]?commercial\s+(?:use|purposes)(?:\s+only)?
 proprietary | proprietary | proprietary\s+(?:and|&)\s+confidential|proprietary\s+licen[cs]e
 copyright-notice | copyright | copyright\s*(?:\(c\)|©)?\s*(?:19|20)\d\d
 """.strip()
 
-# What every match of a rule holds one of; texts without any go by unread.
-GATES = ("licen", "spdx", "general public", "bsd", "cc by", "cc0", "cc-by", "creative commons", "perl", "unicode", "wtfpl", "cecill", "beer", "openrail", "commons", "mit", "rights reserved", "public domain", "permission", "redistribution", "as is", "as-is", "commercial", "proprietary", "copyright")
+# Words of which every match of a rule holds one; texts without any go by unread.
+GATES = ("licen", "spdx", "bsd", "cc", "perl", "unicode", "wtfpl", "cecill", "beer", "openrail", "commons", "cdla", "mit", "reserved", "domain", "permission", "redistribution", "provided", "distributed", "commercial", "proprietary", "copyright")
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
@@ -116,9 +117,8 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
     # of tags that match the same characters the first counts, so families come behind their versions
     out = [(label, "spdx-license-identifier", rf"spdx-license-identifier:\s*(?:{ids})(?![a-z0-9.+-])", 3, 0.99) for label, _, _, ids in reversed(licences)]
     for label, keyword, name, _ in licences:
-        for word in [keyword, "cc-by"] if keyword == "cc by" else [keyword]:
-            out.append((label, word, apart.format(grant.format(name)), 2, 0.95))
-            out.append((label, word, apart.format(f"(?:{name})"), 1, 0.8))
+        out.append((label, keyword, apart.format(grant.format(name)), 2, 0.95))
+        out.append((label, keyword, apart.format(f"(?:{name})"), 1, 0.8))
     for line in NOTICES.splitlines():
         label, keyword, pattern = (x.strip() for x in line.split(" | "))
         out.append((label, keyword, apart.format(f"(?:{pattern})"), 0, 0.5))

@@ -1,6 +1,6 @@
 """License scans with DataFrame functions alone.
 
-Ordered signature rules (``license_rules``) are matched where their keyword occurs. Detections are intervals of the
+Ordered signature rules (``license_rules``) are matched where the words of their keyword occur. Detections are intervals of the
 text; one that lies within a detection of higher priority, or of equal priority and greater or equal length, is
 suppressed. Beside them stand the base phrases, which are told by whole words and never suppressed.
 
@@ -23,11 +23,22 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = 4
+RULES = rules()
+WORDS = sorted({w for r in RULES for alt in r[2].split("/") for w in alt.split()})
 
 
 def _rule_array() -> Column:
-    names = ("rule", "label", "keyword", "pattern", "priority", "confidence")
-    return F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, r, strict=True))) for r in rules()))
+    """The rules; ``ways`` has the places in ``WORDS`` of each alternative's words."""
+    names = ("rule", "label", "pattern", "priority", "confidence")
+    ways = [F.array(*(F.array(*(F.lit(WORDS.index(w)) for w in alt.split())) for alt in r[2].split("/"))).alias("ways") for r in RULES]
+    return F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, r[:2] + r[3:], strict=True)), w) for r, w in zip(RULES, ways, strict=True)))
+
+
+def _hit(text: Column) -> Column:
+    """The rules whose words the text holds. The words are looked for once, not once a rule."""
+    held = F.transform(F.array(*(F.lit(w) for w in WORDS)), lambda w: F.contains(text, w))
+    met = lambda held, r: F.exists(r["ways"], lambda way: F.forall(way, lambda i: F.get(held, i)))
+    return F.get(F.transform(F.array(held), lambda h: F.filter(_rule_array(), lambda r: met(h, r))), F.lit(0))
 
 
 def _matches(text: Column, rule: Column) -> Column:
@@ -75,8 +86,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", low.alias("low"))
     gate = reduce(lambda a, b: a | b, (F.contains("low", F.lit(g)) for g in GATES))
     rows = rows.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, F.col("low")).alias("gated"), F.when(F.contains("low", F.lit("license")), F.regexp_extract_all("low", F.lit(WORD), F.lit(0))).alias("words"))
-    hit = F.filter(_rule_array(), lambda r: F.contains(F.col("gated"), r["keyword"]))
-    found = F.when(F.col("gated").isNotNull(), _kept(F.flatten(F.transform(hit, lambda r: _matches(F.col("gated"), r)))))
+    found = F.when(F.col("gated").isNotNull(), _kept(F.flatten(F.transform(_hit(F.col("gated")), lambda r: _matches(F.col("gated"), r)))))
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _has_base(F.col("words"), i))
     rows = rows.select("doc_id", "n_words", "words", found.alias("found"), F.when(F.size("words") > 0, places).alias("places"))
     base = F.array_distinct(F.transform("places", lambda i: reduce(lambda e, p: F.when(_is(F.col("words"), i, p[0]), p[1]).otherwise(e), PHRASES, F.lit(None).cast("string"))))

@@ -352,6 +352,71 @@ def test_gates_and_keywords_lose_no_match():
         assert keyword == keyword.lower()
 
 
+def strings_of(pattern):
+    """Strings that match: every alternative, options with and without, a line end and a hyphen for each gap."""
+
+    def many(items):
+        out = [""]
+        for item in items:
+            out = [a + b for a in out for b in one(*item)]
+        return out
+
+    def one(op, arg):
+        match str(op):
+            case "LITERAL":
+                return [chr(arg)]
+            case "NOT_LITERAL" | "CATEGORY":
+                return ["\n" if "SPACE" in str(arg) and "NOT" not in str(arg) else "7" if "DIGIT" in str(arg) else "x"]
+            case "IN":
+                every = [c for o, a in arg for c in one(o, a)]
+                return [c for c in every if c in "\n-"] if "\n" in every else every[:1]
+            case "RANGE":
+                return [chr(arg[0])]
+            case "BRANCH":
+                return [x for items in arg[1] for x in many(items)]
+            case "SUBPATTERN":
+                return many(arg[3])
+            case "MAX_REPEAT":
+                return [x for n in sorted({arg[0], max(arg[0], 1)}) for x in many([*arg[2]] * n)]
+            case "ASSERT_NOT":
+                return [""]
+        raise AssertionError(op)
+
+    return [s for s in many(re._parser.parse(pattern)) if re.match(pattern, s, re.ASCII)]
+
+
+def test_keywords_and_gates_hold_for_every_alternative(spark):
+    rng, rows = random.Random(8), []
+    for _, label, keyword, pattern, priority, _ in license_rules.rules():
+        strings = strings_of(pattern)
+        assert strings, pattern
+        for s in strings:
+            assert any(all(w in s for w in alt.split()) for alt in keyword.split("/")), (label, keyword, s)
+            assert any(g in s for g in license_rules.GATES), (label, s)
+        strings = rng.sample(strings, min(3 if priority > 1 else 12, len(strings)))
+        rows += [(len(rows) + i, s, re.match(pattern, s, re.ASCII).end()) for i, s in enumerate(strings)]
+    seen = {r.doc_id: r.detections for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(8)).collect()}
+    for i, s, end in rows:
+        assert any(d.start == 0 and d.stop >= end for d in seen[i]), s
+
+
+def test_license_texts_with_wrapped_lines_and_other_names(spark):
+    says = {
+        "Permission is\nhereby granted, free of charge, to any person obtaining": "mit",
+        "all rights\nreserved": "all-rights-reserved",
+        "GNU Lesser General\nPublic License": "lgpl",
+        "Redistribution\nand use in source and binary forms": "bsd",
+        "provided as-is": "warranty-disclaimer",
+        "Expat License": "mit",
+        "PSF License": "python",
+        "Do What The F*** You Want To Public License": "wtfpl",
+        "Community Data License Agreement": "cdla",
+        "CDLA data agreement": "cdla",
+    }
+    out = licenses.scan(spark.createDataFrame([*enumerate(says)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[d.label for d in r.detections] for r in out] == [[x] for x in says.values()]
+
+
 # 9 embeddings
 
 
