@@ -16,7 +16,7 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -136,10 +136,10 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(keep, pa.int64()), pa.array(cols[3], pa.int64())], ["digest", "n_bytes", "keep_id", "n"])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id with the digest of its whole text, computed in the JVM."""
+def digests(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id with the digest of its whole text, computed in the JVM, and ``more``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), *more)
 
 
 def classes(keyed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
@@ -171,6 +171,11 @@ def exact_dedup(docs: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each text."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("stays"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each text, of the largest doc_id that has it.
+
+    Different texts under one doc_id, or under none, all stay; of rows that repeat a doc_id and a text any one stays.
+    """
+    least = F.lit(LEAST)
+    stay = classes(written(digests(docs), "digests")).select(F.coalesce("keep_id", least).alias("stays"), "digest", "n_bytes")
+    rows = digests(docs, F.struct("*").alias("row")).withColumn("stays", F.coalesce("doc_id", least))
+    return rows.join(stay, ["stays", "digest", "n_bytes"], "left_semi").dropDuplicates(["digest", "n_bytes"]).select("row.*")

@@ -224,6 +224,16 @@ def test_exact_dedup(docs, texts, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_drop_exact_copies_keeps_each_text_under_shared_and_null_ids(spark):
+    least = -(1 << 63)
+    rows = [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (1, "d"), (2, "d"), (None, "d"), (1, None), (3, ""), (None, "e"), (None, "e"), (least, "f"), (None, "f"), (least, "g")]
+    kept = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string").transform(clash))
+    assert kept.columns == ["doc_id", "text", *CLASH]
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    f = next(x for x in got if x[1] == "f")
+    assert got == Counter([(None, "a"), (None, "b"), (1, "c"), (2, "d"), (3, ""), (None, "e"), (least, "g"), f])
+
+
 def test_exact_dedup_forgets_deleted_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "c")], "doc_id long, text string")
     gone = spark.createDataFrame([(3,), (4,), (4,)], "doc_id long")
