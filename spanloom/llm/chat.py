@@ -4,14 +4,15 @@ Turns are numbered and their token estimates summed along the conversation, in t
 very many turns is spread over tasks. The prefix sums cut it into turn-aligned spans: a grid of span budgets, where a
 turn belongs to the cell it ends in, and a turn that crosses into a full cell stands alone. A window is a span with the
 conversation's system turn and up to ``history`` earlier turns (within the history budget) before it; those carry no
-loss, so that each assistant turn is a target once.
+loss, so that each assistant turn is a target once. The system turn's tokens are taken out of its conversation's span.
 
 A turn is written ``### role``, a line end, its text, ``</turn>`` and a line end. Within texts and roles a backslash is
 doubled, ``###`` becomes ``\\h``, ``</turn>`` becomes ``\\t`` and, in roles, a line end becomes ``\\n``.
 
 Defined cases: null texts and roles count as empty; rows of equal turn are ordered by role and text; rows without a
 turn come first; a conversation with a null id is one conversation; a single turn that is over budget is kept whole in
-a window of its own; other columns are ignored; an empty table gives no rows.
+a window of its own; where the system turn leaves no room for a span, every turn stands in a window of its own behind
+it, over the budget; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,24 +42,26 @@ def unescape(text: Column) -> Column:
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """conv_id, role, text (both escaped), tokens, and each turn's place and token prefix sums (place, before, upto)."""
+    """conv_id, role, text (both escaped), tokens, each turn's place and token prefix sum (place, upto), and the tokens of
+    the conversation's system turn, its first (system)."""
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumns({"role": F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), "text": escape(F.col("text"))})
     rows = rows.withColumns({"tokens": (F.ceil(F.length("text") / CHARS_PER_TOKEN) + MARK_TOKENS).cast("long"), "chunk": F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK)})
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    chunks = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.min(F.when(F.col("role") == "system", F.struct("turn", "text", "tokens"))).alias("s"))
     earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(x + "0") for x in ("n", "t")))
+    chunks = chunks.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(x + "0") for x in ("n", "t")), F.coalesce(F.min("s").over(Window.partitionBy("conv_id"))["tokens"], F.lit(0)).alias("system"))
     inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
     rows = rows.withColumns({"place": F.row_number().over(inside), "upto": F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
     met = rows.join(chunks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
-    return met.select("conv_id", "role", "text", "tokens", (F.col("place") + F.col("n0")).alias("place"), (F.col("upto") + F.col("t0")).alias("upto"))
+    return met.select("conv_id", "role", "text", "tokens", (F.col("place") + F.col("n0")).alias("place"), (F.col("upto") + F.col("t0")).alias("upto"), "system")
 
 
 def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 2, history_budget: int = 384, system_budget: int = 128) -> DataFrame:
     """One row a window: conv_id, window (its first turn's place), n_context (turns repeated before its own), formatted,
-    n_turns (of its own), tokens (estimated), loss_spans (array of start, length: code points of ``formatted``)."""
-    span = budget - history_budget - system_budget
+    n_turns (of its own), tokens (estimated), loss_spans (array of start, length: code points of ``formatted``).
+    ``system_budget`` is what is set aside for the system turn at least."""
+    span = F.greatest(F.lit(budget - history_budget) - F.greatest("system", F.lit(system_budget)), F.lit(1))
     rows = written(numbered(turns), "turns").withColumn("cell", F.floor((F.col("upto") - 1) / span))
     rows = rows.withColumn("crosses", F.col("upto") - F.col("tokens") < F.col("cell") * span)
     cells = rows.groupBy("conv_id", "cell").agg(F.sum("tokens").alias("all"), F.min("place").alias("first"), F.min(F.when(~F.col("crosses"), F.col("place"))).alias("second"))
@@ -73,7 +76,7 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 2, history
     near = offers.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("w") == F.col("window")))
     near = near.filter(F.col("at") - (F.col("upto") - F.col("tokens")) <= history_budget).select("conv_id", "window", "place", "role", "text", "tokens")
     system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min("place").alias("place")).select(F.col("conv_id").alias("sc"), F.col("place").alias("sp"))
-    system = rows.join(system, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("place") == F.col("sp"))).select("sc", "place", "role", "text", "tokens").filter(F.col("tokens") <= system_budget)
+    system = rows.join(system, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("place") == F.col("sp"))).select("sc", "place", "role", "text", "tokens")
     system = starts.join(system, F.col("c").eqNullSafe(F.col("sc")) & (F.col("place") < F.col("window"))).select(F.col("c").alias("conv_id"), "window", "place", "role", "text", "tokens")
     context = near.union(system).withColumn("own", F.lit(False))
     own = rows.select("conv_id", "window", "place", "role", "text", "tokens", F.lit(True).alias("own"))

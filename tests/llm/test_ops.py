@@ -194,6 +194,18 @@ def test_chat_windows_repeat_system_and_history(turns):
     assert any(w.n_context for w in windows) and all(w.n_context <= 3 for w in windows)
 
 
+def test_chat_windows_repeat_a_long_system_turn(spark):
+    rows = [(c, 0, "system", "s" * n) for c, n in ((1, 5000), (2, 20_000), (None, 5000))]
+    rows += [(c, t, "assistant" if t % 2 == 0 else "user", f"{t} " + "w" * 300) for c in (1, 2, None) for t in range(1, 40)]
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    for conv, n in ((1, 5000), (2, 20_000), (None, 5000)):
+        mine = [w for w in windows if w.conv_id == conv]
+        assert sum(w.n_turns for w in mine) == 40 and len(mine) > 3
+        for w in mine:
+            assert w.formatted.startswith("### system\n" + "s" * n + "</turn>\n") and w.formatted.count("### system\n") == 1
+            assert w.tokens <= 2048 if n == 5000 else w.n_turns == 1
+
+
 # 4 SentencePiece
 
 
