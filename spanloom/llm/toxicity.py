@@ -1,20 +1,23 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's probability is logistic in the words it holds; a document's is the noisy-or of its sentences, one minus
-the product of their complements. Only documents have labels, so the gradient of the document's loss is shared out
-over its sentences. A leak, one more cause for each document whatever its sentences, takes up labels that no sentence
-explains, so that they don't raise every sentence's base rate (which would condemn long documents); scores leave it
-out. The words that count are chosen by Spark over the sample (a bounded list, by log-odds), the model is
-fitted on a bounded sample of labelled rows, and scoring covers every whole text and names the sentences that offend.
+A sentence's probability is logistic in the features it holds: its words, and the beginnings of its words, by which
+inflected and compound forms that no labelled row has are told by their stem. A document's is the noisy-or of its
+sentences, one minus the product of their complements. Only documents have labels, so the gradient of the document's
+loss is shared out over its sentences. A leak, one more cause for each document whatever its sentences, takes up labels
+that no sentence explains, so that they don't raise every sentence's base rate (which would condemn long documents);
+scores leave it out. The features that count are chosen by Spark over the sample (a bounded list, by likelihood ratio),
+the model is fitted on a bounded sample of labelled rows, each text once, and scoring covers every whole text and names
+the sentences that offend.
 
 Defined cases: a null text counts as empty; a text without sentences scores 0; rows without a label, and labels
-without a document, take no part in fitting; of repeated labels the larger counts; repeated rows score alike; other
-columns are ignored; without rows of both labels the model has no words and scores 0.
+without a document, take no part in fitting; of repeated labels, and of the labels of equal texts, the larger counts;
+repeated rows score alike; other columns are ignored; without rows of both labels the model has no words and scores 0.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Bounds of what fitting reads and keeps.
-SAMPLE_ROWS, VOCABULARY = 6000, 1500
+SAMPLE_ROWS, VOCABULARY = 6000, 2000
+#: Lengths of the beginnings of longer words that are features, written with a star.
+STEMS = (3, 4, 5, 6, 7)
+#: Words that a model remembers at most.
+MEMORY = 1_000_000
 
 SENTENCE = re.compile(r"[.!?…\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -35,24 +44,43 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.split(text) if s.strip()]
 
 
+def features(word: str) -> list[str]:
+    """A word in lower case, and its beginnings."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
 @dataclass
 class Model:
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
+    #: Words met before, with those of their features that have a weight.
+    met: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def _telling(self, words: set[str]) -> dict[str, tuple[str, ...]]:
+        """Of the words, those with features that have a weight."""
+        if len(self.met) > MEMORY:
+            self.met.clear()
+        for w in words - self.met.keys():
+            self.met[w] = tuple(f for f in features(w) if f in self.weights)
+        return {w: found for w in words if (found := self.met[w])}
+
+    def _logit(self, telling: dict[str, tuple[str, ...]], words: set[str]) -> float:
+        held = {f for w in words for f in telling.get(w, ())}
+        return self.bias + sum(self.weights[f] for f in sorted(held))
 
     def logit(self, sentence: str) -> float:
-        get = self.weights.get
-        return self.bias + sum(get(w, 0.0) for w in {*WORD.findall(sentence.lower())})
+        words = {*WORD.findall(sentence.lower())}
+        return self._logit(self._telling(words), words)
 
     def score(self, text: str | None) -> float:
         """Noisy-or over the sentences of a whole text."""
         if not text or not self.weights:
             return 0.0
-        weights, found, plain = self.weights, [], 0
-        known = weights.keys()
-        for s in SENTENCE.split(text.lower()):
-            if words := known & WORD.findall(s):
-                found.append(self.bias + sum(weights[w] for w in sorted(words)))
+        low, found, plain = text.lower(), [], 0
+        telling = self._telling({*WORD.findall(low)})
+        for s in SENTENCE.split(low):
+            if telling and (words := telling.keys() & WORD.findall(s)):
+                found.append(self._logit(telling, words))
             elif s and not s.isspace():
                 plain += 1
         z = np.array(found)
@@ -64,8 +92,8 @@ class Model:
         return [(i, float(p), s) for i, p, s in scored if p >= least]
 
 
-def fit_bags(bags: list[list[list[int]]], plain: list[int], labels: list[int], size: int, rounds: int = 400, rate: float = 0.1, penalty: float = 3e-4) -> tuple[float, np.ndarray]:
-    """(bias, weights) by gradient steps. A bag: its sentences that hold known words (as indices); plain: how many hold none."""
+def fit_bags(bags: list[list[list[int]]], plain: list[int], labels: list[int], size: int, rounds: int = 600, rate: float = 0.1, penalty: float = 6e-5) -> tuple[float, np.ndarray]:
+    """(bias, weights) by gradient steps. A bag: its sentences that hold known features (as indices); plain: how many hold none."""
     doc = np.array([d for d, ss in enumerate(bags) for _ in ss], np.int64)
     sent = [s for ss in bags for s in ss]
     word = np.array([w for s in sent for w in s], np.int64)
@@ -93,36 +121,36 @@ def training_rows(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
-    """Fits on at most ``rows`` labelled documents, chosen by a hash of their ids, and at most ``vocabulary`` words."""
+    """Fits on at most ``rows`` labelled documents, chosen by a hash of their ids, and at most ``vocabulary`` features."""
     chosen = labels.filter(training_rows(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")  # `rows` ids at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` ids at most
+    sample = sample.groupBy(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))
+    sample = written(sample, "toxic-sample")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, toxic = [], []
+            every, toxic = Counter(), Counter()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {*WORD.findall(text.lower())}
-                out += own
-                toxic += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
+                own = {f for w in {*WORD.findall(text.lower())} for f in features(w)}
+                every.update(own)
+                if y:
+                    toxic.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array([*every], pa.string()), pa.array([*every.values()], pa.int64()), pa.array([toxic[f] for f in every], pa.int64())], ["feature", "n", "t"])
 
     total = sample.agg(F.count("*"), F.sum("toxic")).first()
     n, bad = total[0], total[1] or 0
     if not 0 < bad < n:
         return Model()
-    counts = sample.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    t, c = F.col("t"), F.col("n") - F.col("t")
-    odds = F.log((t + 0.5) / (bad - t + 0.5)) - F.log((c + 0.5) / (n - bad - c + 0.5))
-    error = F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    top = counts.filter(f"n >= {max(3, n // 250)}").select("word", F.abs(odds / error).alias("z")).orderBy(F.desc("z"), "word").limit(vocabulary)
-    place = {r.word: i for i, r in enumerate(top.collect())}
+    counts = sample.mapInArrow(count, "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    top = counts.filter(F.col("n") >= max(3, n // 1000)).select("feature", _likelihood_ratio(F.col("n"), F.col("t"), n, bad).alias("g")).orderBy(F.desc("g"), "feature").limit(vocabulary)
+    place = {r.feature: i for i, r in enumerate(top.collect())}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, plain = [], []
             for text in batch.column(0).to_pylist():
-                own = [sorted({place[w] for w in WORD.findall(s) if w in place}) for s in sentences(text.lower())]
+                own = [sorted({place[f] for w in {*WORD.findall(s)} for f in features(w) if f in place}) for s in sentences(text.lower())]
                 found.append([s for s in own if s])
                 plain.append(sum(not s for s in own))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(plain, pa.int32()), batch.column(1)], ["found", "plain", "toxic"])
@@ -133,6 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary:
     return Model(bias, {w: float(weights[i]) for w, i in place.items() if abs(weights[i]) > 0.05})
 
 
+def _likelihood_ratio(n: Column, t: Column, rows: int, toxic: int) -> Column:
+    """Twice the log likelihood ratio of a feature in ``n`` of ``rows`` documents, ``t`` of them toxic, against chance."""
+
+    def cell(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    clean, e = rows - toxic, n * toxic / rows
+    return 2 * (cell(t, e) + cell(n - t, n - e) + cell(toxic - t, toxic - e) + cell(clean - (n - t), clean - (n - e)))
+
+
 def score_column(model: Model) -> Column:
     """A column of scores of ``text``."""
 

@@ -299,12 +299,43 @@ def test_toxicity_without_labels(spark, docs):
     assert {r.score for r in toxicity.score_documents(docs, model).collect()} == {0.0}
 
 
+def test_toxicity_tells_unseen_forms_by_their_stem(spark):
+    rng = random.Random(9)
+    plain = [a + b for a in ("ba", "di", "gor", "lum", "ne") for b in ("ta", "ri", "sol", "mek")]
+    ends = [x + y for x in "aeiou" for y in ("st", "nd", "rk", "ll", "mp")]
+    rows, labels = [], []
+    for i in range(1200):
+        ss = [" ".join(rng.choices(plain, k=8)) for _ in range(rng.randint(1, 12))]
+        bad = rng.random() < 0.15
+        # labels that may be learnt have half of the endings, the others the other half
+        mine = ends[::2] if zlib.crc32(str(i).encode()) % 3 != 1 else ends[1::2]
+        if bad:
+            for _ in range(2):
+                ss.insert(rng.randrange(len(ss) + 1), " ".join([rng.choice(plain), "zwark" + rng.choice(mine), rng.choice(plain)]))
+        rows.append((i, ". ".join(ss)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").transform(clash)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    truth = dict(labels)
+    held = [r for r in toxicity.score_documents(docs, model).collect() if r.held_out]
+    bad = [r.predicted for r in held if truth[r.doc_id]]
+    assert len(bad) > 20 and sum(bad) / len(bad) >= 0.95
+    assert not any(r.predicted for r in held if not truth[r.doc_id])
+
+
+def test_toxicity_of_an_empty_table(spark, empty):
+    model = toxicity.fit(empty, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert toxicity.score_documents(empty, model).collect() == []
+    assert toxicity.offending_sentences(empty, model).collect() == []
+
+
 def test_toxicity_on_held_out_documents(spark):
-    out = queries.op6_toxicity(spark, "/root/testdata/sf0.01")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic is not null").dropDuplicates(["doc_id"])
-    rows = out.filter("held_out").join(labels, "doc_id").collect()
-    good = [r.predicted == r.toxic for r in rows]
-    assert sum(good) / len(good) >= 0.9
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").dropDuplicates(["doc_id"])
+    rows = queries.op6_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits / sum(r.toxic for r in rows) >= 0.8
+    assert hits / sum(r.predicted for r in rows) >= 0.95
 
 
 # 7 WARC
