@@ -7,11 +7,14 @@ of a graph over positions; sorted by position, they are relaxed from left to rig
 
 The model is a BPE model, so an edge isn't admitted by a sum of scores but by the merges: a piece may follow the best
 last piece of the text before it exactly if the two, side by side, would not have been merged in another way. Each
-position then has one last piece, and the path back from the end is the encoding of the library, id by id. Runs of
-several spaces, whose pieces tie in score, are merged by rule.
+position then has one last piece, and the path back from the end is the encoding of the library, id by id. A run of
+several spaces is cut from its word: the last space and the word are matched and relaxed like any stretch; the spaces
+before it, whose pieces tie at the least score and so merge last and from the left, are merged by that rule in one
+pass over the run (the one part that isn't matched in the suffix array).
 
 Defined cases: a null text counts as empty and has no ids; characters outside the model are written as bytes;
-very long stretches are relaxed like others; repeated rows are encoded alike; other columns are ignored; an empty
+very long stretches are relaxed like others, and runs of spaces take time in proportion to their length; texts of
+spaces alone have ids; repeated rows are encoded alike; other columns are ignored; an empty
 table gives no rows.
 """
 
@@ -22,7 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +58,18 @@ class PieceModel:
                 self.split[i] = parts[0], parts[1]
         #: Pieces that merging can produce: single characters and those that their own characters merge into.
         self.usable = [i for i in plain if i not in self.rank or i in self.split]
+        runs = {len(t): i for t, i in self.id_of.items() if not t.strip(SPACE)}
+        others = [self.score[i] for i in plain if i not in {*runs.values()}]
+        if any(SPACE * 2 in self.text[i] and self.text[i].strip(SPACE) for i in plain) or len({self.score[i] for k, i in runs.items() if k > 1}) > 1 or any(self.score[i] >= min(others) for k, i in runs.items() if k > 1):
+            raise ValueError("runs of spaces must tie below all other pieces of the model")
+        self.spaces = runs
         self.bytes_of = {i: bytes([b]) for b, i in self.byte.items()} | {i: self.text[i].replace(SPACE, " ").encode() for i in plain}
-        self._valid: dict[tuple[int, int], bool] = {}
+        self.ranks, self.halves = np.full(len(self.text), NONE, np.int64), np.full((len(self.text), 2), NONE, np.int64)
+        for i, r in self.rank.items():
+            self.ranks[i], self.halves[i] = r, self.split.get(i, (NONE, NONE))
+        #: Every pair of pieces whose texts together are a piece, with the rank of that merge.
+        pairs = sorted((self.id_of[t[:k]] << 32 | self.id_of[t[k:]], r) for i, r in self.rank.items() for t in [self.text[i]] for k in range(1, len(t)) if t[:k] in self.id_of and t[k:] in self.id_of)
+        self.pairs, self.pair_rank = np.array(pairs, np.int64).reshape(-1, 2).T
 
     def _merged(self, text: str, whole: bool = True) -> list[int]:
         """BPE by rule: best score first, leftmost of equals. Not ``whole``: stops before the last merge into one."""
@@ -71,28 +84,31 @@ class PieceModel:
             parts[k : k + 2] = [self.id_of[shown[k]]]
         return [len(self.text) + ord(p) if isinstance(p, str) else p for p in parts]
 
-    def follows(self, a: int, b: int) -> bool:
+    def space_run(self, n: int) -> list[int]:
+        """Ids of ``n`` spaces on their own: the leftmost pair that makes a piece merges first."""
+        done: list[int] = []
+        for _ in range(n):
+            done.append(1)
+            while len(done) > 1 and done[-2] + done[-1] in self.spaces:
+                done[-2:] = [done[-2] + done[-1]]
+        return [self.spaces[k] for k in done]
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves piece ``b`` after piece ``a``. Merges at their border are undone, latest first."""
-        if a >= len(self.text) or b >= len(self.text):
-            return True
-        if (known := self._valid.get((a, b))) is not None:
-            return known
-        x, y, limit, out = a, b, len(self.rank), True
-        while True:
-            c = self.rank.get(self.id_of.get(self.text[x] + self.text[y], NONE))
-            if c is not None and c < limit:
-                out = False
-                break
-            rx, ry = self.rank.get(x, NONE), self.rank.get(y, NONE)
-            if rx == ry == NONE:
-                break
-            if rx > ry:
-                limit, x = rx, self.split[x][1]
-            else:
-                limit, y = ry + 1, self.split[y][0]
-        if len(self._valid) > 2_000_000:
-            self._valid.clear()
-        self._valid[a, b] = out
+        out = np.ones(len(a), bool)
+        live = np.flatnonzero((a < len(self.text)) & (b < len(self.text)))
+        x, y, limit = a[live], b[live], np.full(len(live), len(self.rank), np.int64)
+        while len(live):
+            key = x << 32 | y
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            other = (self.pairs[at] == key) & (self.pair_rank[at] < limit)
+            out[live[other]] = False
+            rx, ry = self.ranks[x], self.ranks[y]
+            more = ~other & ((rx != NONE) | (ry != NONE))
+            live, x, y, rx, ry = live[more], x[more], y[more], rx[more], ry[more]
+            left = rx > ry
+            limit = np.where(left, rx, ry + 1)
+            x, y = np.where(left, self.halves[x, 1], x), np.where(left, y, self.halves[y, 0])
         return out
 
 
@@ -101,7 +117,7 @@ class Matcher:
 
     PAIRS = 1 << 21
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         self.model, self.most = PieceModel(path), most
         m = self.model
         self.depth = max(len(m.text[i]) for i in m.usable)
@@ -121,15 +137,25 @@ class Matcher:
     # suffix array and search
 
     def suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Positions in the order of their next ``depth`` characters, by doubling."""
-        _, rank = np.unique(codes, return_inverse=True)
-        rank, width = rank.astype(np.int64) + 1, 1
-        while width < self.depth:
-            ahead = np.concatenate([rank[width:], np.zeros(min(width, len(rank)), np.int64)])[: len(rank)]
-            key = rank * (int(rank.max()) + 1) + ahead
-            _, rank = np.unique(key, return_inverse=True)
-            rank, width = rank.astype(np.int64) + 1, width * 2
-        return np.argsort(rank, kind="stable")
+        """Positions in the order of their next ``depth`` characters: ranks of several places are packed into one key."""
+        distinct, rank = np.unique(codes, return_inverse=True)
+        rank, top, width = rank.astype(np.int64) + 1, len(distinct) + 1, 1
+        while True:
+            bits = top.bit_length()
+            key, ahead = rank, np.zeros(len(rank), np.int64)
+            for k in range(1, 62 // bits):
+                if (by := k * width) >= self.depth:
+                    break
+                ahead[:] = 0
+                ahead[: max(0, len(rank) - by)] = rank[by:]
+                key = key << bits | ahead
+            order = np.argsort(key)
+            width *= max(2, 62 // bits)
+            if width >= self.depth:
+                return order
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+            top = len(order) + 1
 
     def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, row of ``pieces``) of every occurrence of every piece."""
@@ -162,7 +188,7 @@ class Matcher:
         miss = self.pair_key[slot] != key
         if miss.any():
             fresh, back = np.unique(key[miss], return_inverse=True)
-            ok = np.fromiter((self.model.follows(int(k) >> 22, int(k) & 0x3FFFFF) for k in fresh), bool, len(fresh))
+            ok = self.model.follows(fresh >> 22, fresh & 0x3FFFFF)
             out = np.empty(len(key), bool)
             out[~miss] = self.pair_ok[slot[~miss]]
             out[miss] = ok[back]
@@ -199,7 +225,7 @@ class Matcher:
         last = np.full(len(codes) + 1, NONE, np.int64)  # by position: the last piece of the text up to it
         width = np.zeros(len(codes) + 1, np.int64)
         cuts = np.flatnonzero(np.diff(end, prepend=0))
-        for lo, hi in zip(cuts, [*cuts[1:], len(end)], strict=True):
+        for lo, hi in zip(cuts, np.append(cuts, len(end))[1:], strict=True):
             w, t, s = where[lo:hi], token[lo:hi], span[lo:hi]
             first = w == begin[owner[w]]
             before = np.where(first, 0, last[w - 1])
@@ -236,15 +262,23 @@ class Matcher:
         per = np.add.reduceat(np.append(size, 0), np.cumsum(lengths) - lengths) if len(lengths) else lengths
         return out, np.where(lengths > 0, per, 0)
 
+    def _relaxed(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``relax``, but spaces before the last of several are merged by rule."""
+        words = [*map(str.lstrip, fresh, repeat(SPACE))]
+        spaces = [len(f) - len(w) for f, w in zip(fresh, words, strict=True)]
+        ids, lengths = self.relax([SPACE * min(n, 1) + w if w else "" for n, w in zip(spaces, words, strict=True)])
+        runs = [i for i, (n, w) in enumerate(zip(spaces, words, strict=True)) if n > 1 or not w]
+        if not runs:
+            return ids, lengths
+        parts = np.split(ids, np.cumsum(lengths)[:-1])
+        for i in runs:
+            alone = not len(parts[i]) or parts[i][0] == self.model.spaces[1]  # else the last space is part of the word's first piece
+            before = self.model.space_run(spaces[i] if alone else spaces[i] - 1)
+            parts[i] = np.concatenate([np.array(before, np.int64), parts[i][1:] if alone else parts[i]])
+        return np.concatenate(parts), np.array([*map(len, parts)], np.int64)
+
     def _learn(self, fresh: list[str]) -> None:
-        shown = [s.replace(" ", SPACE) for s in fresh]
-        ruled = [s for s in shown if SPACE in s[1:]]
-        ids, lengths = self.relax([s for s in shown if SPACE not in s[1:]])
-        fresh = [f for f, s in zip(fresh, shown, strict=True) if SPACE not in s[1:]] + [f for f, s in zip(fresh, shown, strict=True) if SPACE in s[1:]]
-        extra = [self._spaced(s) for s in ruled]
-        ids = np.concatenate([ids, np.array([*chain.from_iterable(extra)], np.int64)])
-        lengths = np.concatenate([lengths, np.array([*map(len, extra)], np.int64)])
-        ids, lengths = self._bytes(ids, lengths)
+        ids, lengths = self._bytes(*self._relaxed([s.replace(" ", SPACE) for s in fresh]))
         first, total = len(self.known), int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -255,20 +289,6 @@ class Matcher:
         self.used += total
         self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
 
-    def _spaced(self, shown: str) -> list[int]:
-        """A stretch that begins with several spaces: the last one goes with what follows if that begins with it."""
-        return self.model._merged(shown) if len(shown) <= 64 else self._long_spaced(shown)
-
-    def _long_spaced(self, shown: str) -> list[int]:
-        rest = shown.lstrip(SPACE)
-        n = len(shown) - len(rest)
-        tail = self.relax([SPACE + rest])[0].tolist() if rest and SPACE not in rest else None
-        if tail is None:
-            return self.model._merged(shown)
-        # spaces merge among themselves last of all, so what follows takes the last one only if it merges with it
-        alone = tail[0] == self.model.id_of.get(SPACE)
-        return self.model._merged(SPACE * n if alone else SPACE * (n - 1)) + (tail[1:] if alone else tail)
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets with one entry more than texts)."""
         words = [STRETCH.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]

@@ -209,6 +209,30 @@ def test_chat_windows_repeat_a_long_system_turn(spark):
 # 4 SentencePiece
 
 
+def test_sentencepiece_runs_of_spaces_and_long_stretches():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    m = piece_match.Matcher(queries.piece_model())
+    odd = ["   ", " ", "", None, "x", "hello world", "hello  world", " \n ", "  é ß\n\n   \n  ▁▁x　 y", "x" * 5000, "\x00 a\x00", "日本  語", "🙂  🙂", " " * 100_000]
+    for text in [*odd, *("q" * k + " " * k + "!" + " " * (k + 3) for k in range(40))]:
+        ids, _ = m.encode([text])
+        assert ids.tolist() == sp.encode(text or "")
+        assert m.decode(ids.tolist()) == sp.decode(ids.tolist())
+    ids, ends = piece_match.Matcher(queries.piece_model()).encode(odd)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [sp.encode(t or "") for t in odd]
+
+
+def test_sentencepiece_over_a_whole_table(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in table.select("doc_id", "text").collect()}
+    out = piece_match.encode(table, queries.piece_model()).collect()
+    assert len(out) == len(texts) and all(list(r.ids) == sp.encode(texts[r.doc_id]) for r in out)
+
+
 def test_sentencepiece(docs, texts, empty):
     import sentencepiece
 
