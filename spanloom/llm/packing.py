@@ -40,11 +40,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, ends = enc.encode(part.column(1).to_pylist())
+            keys = batch.column(0).to_pylist()
+            for lo, hi, ids, ends in enc.steps(batch.column(1).to_pylist()):
                 raw, rows = ids.astype("<u4"), []
-                for doc, a, b in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for doc, a, b in zip(keys[lo:hi], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     own = np.append(raw[a:b], np.uint32(end_id))
                     for k, s in enumerate(range(0, len(own), capacity)):
                         x = own[s : s + capacity]

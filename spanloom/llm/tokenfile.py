@@ -249,10 +249,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "block", "first_id", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids, ends = enc.encode(some.column(1).to_pylist())
-                for doc, a, b in zip(some.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            keys = batch.column(0).to_pylist()
+            for lo, hi, ids, ends in enc.steps(batch.column(1).to_pylist()):
+                for doc, a, b in zip(keys[lo:hi], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     held.append((doc, np.append(ids[a:b], np.uint32(end_id))))
                     size += b - a + 1
                     if size >= BLOCK_IDS:

@@ -1,5 +1,6 @@
 """Fast, exact use of a word-level BPE of the tokenizers library: every distinct word is encoded once.
 
+Arrow splits texts at white space and numbers their distinct words, so Python meets each word once a step.
 The tokenizer of ``word_bpe_49k.json`` drops white space, and nothing in it (normal form, lower case, pattern,
 merges) looks across white space, so a text's ids are the ids of its words in a row. Of a word, a run of Latin
 letters is a match of its own; it goes straight to the library's merges. All else (other scripts, digits before
@@ -11,10 +12,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters with what the pattern matches apart from them before and behind; no apostrophe, which begins 's and the like.
@@ -32,7 +36,10 @@ def _byte_alphabet() -> dict[int, str]:
 class WordEncoder:
     """Ids of whole texts by a tokenizers file. The cache of words is emptied when it holds ``max_words``."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    #: Characters of text encoded in one step; a longer text is a step of its own.
+    STEP = 6_000_000
+
+    def __init__(self, path: str, max_words: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -46,6 +53,7 @@ class WordEncoder:
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.parts: dict[str, list[int]] = {}
+        self.cores: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)  # starts[i]..starts[i + 1] are the ids of word i
         self.used = 0
@@ -61,10 +69,13 @@ class WordEncoder:
         return ids
 
     def _word(self, word: str) -> list[int]:
-        if m := SIMPLE.fullmatch(word):
-            ids = [t.id for t in self.merges.tokenize(m[2].lower().translate(self.alphabet))]
-            return [*self._part(m[1]), *ids, *self._part(m[3])] if m[1] or m[3] else ids
-        return self._library(word)
+        if not (m := SIMPLE.fullmatch(word)):
+            return self._library(word) if word else []
+        before, core, after = m.groups()
+        core = core.lower()
+        if (ids := self.cores.get(core)) is None:
+            ids = self.cores[core] = [t.id for t in self.merges.tokenize(core.translate(self.alphabet))]
+        return [*self._part(before), *ids, *self._part(after)] if before or after else ids
 
     def _learn(self, fresh: list[str]) -> None:
         ids = [*map(self._word, fresh)]
@@ -79,33 +90,39 @@ class WordEncoder:
         self.used += total
         self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
 
+    def steps(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, end, their ids in a row, offsets with one entry more than texts), step by step."""
+        sizes = np.cumsum([len(t or "") for t in texts])
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self.STEP, side="right")))
+            ids, lengths = self._some([t or "" for t in texts[at:end]])
+            yield at, end, ids, np.concatenate([[0], np.cumsum(lengths)])
+            at = end
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets with one entry more than texts). A null text is an empty one."""
-        out, ends = [], np.zeros(len(texts) + 1, np.int64)
-        for at in range(0, len(texts), 256):
-            ids, lengths = self._some([t or "" for t in texts[at : at + 256]])
-            out.append(ids)
-            ends[at + 1 : at + 1 + len(lengths)] = lengths
-        return (np.concatenate(out) if out else np.empty(0, np.uint32)), np.cumsum(ends)
+        ids, ends = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        for _, _, x, e in self.steps(texts):
+            ids.append(x)
+            ends.append(e[1:] + ends[-1][-1])
+        return np.concatenate(ids), np.concatenate(ends)
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = {i: np.array(self._library(t), np.uint32) for i, t in enumerate(texts) if any(x in t for x in self.odd)}
-        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
         if len(self.known) > self.max_words:
             self._reset()
-        known = self.known
-        fresh = set()
-        for ws in words:
-            fresh.update(ws)
-        if fresh := [w for w in fresh if w not in known]:
+        words = pc.utf8_split_whitespace(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string()))
+        coded, known = words.values.dictionary_encode(), self.known
+        distinct = coded.dictionary.to_pylist()
+        if fresh := [w for w in distinct if w not in known]:
             self._learn(fresh)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        index = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        index = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         starts = self.starts[index]
         lengths = self.starts[index + 1] - starts
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
-        ends = ends[np.concatenate([[0], np.cumsum(counts)])]
+        ends = ends[words.offsets.to_numpy()]
         per_text = np.diff(ends)
         if whole:
             parts = np.split(ids, ends[1:-1])
