@@ -3,7 +3,9 @@
 A digest is the SHA-256 of a text's UTF-8 bytes, with their number. Every task keeps an index of the digests it has
 met: a cuckoo filter of short fingerprints says "surely new" or "perhaps known", and a hit is verified against the
 content kept for its bucket (the whole digest and length). Tasks first combine what their own rows repeat, so a text
-that a third of all rows share reaches its shard as one row from each task; the shards' indexes combine those.
+that a third of all rows share reaches its shard as one row from each task; the shards' indexes combine those. A task
+hands on what it combined whenever its index is full, and the number of shards follows the number of rows, so no index
+grows with the input.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; rows that repeat a doc_id and a text
 count in the group and share its fate; the row with the largest doc_id stays (null ids are smallest); other columns
@@ -12,6 +14,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Iterator
 
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 
 WAYS, KICKS = 4, 64
 LEAST = -(1 << 63)
+#: Digests in an index: a task's own is emptied there, and there is a shard for each so many rows.
+INDEX_ROWS = 400_000
 
 
 class CuckooIndex:
@@ -118,8 +123,11 @@ class CuckooIndex:
 CLASSES = "digest binary, n_bytes long, keep_id long, n long"
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, n_bytes, keep_id, n); n is negative for what is to be deleted, after all insertions."""
+def _combine(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, n_bytes, keep_id, n); n is negative for what is to be deleted, after all insertions.
+
+    With ``most``, digests are handed on whenever the index holds so many, and combined later.
+    """
     index, gone = CuckooIndex(), []
     for batch in batches:
         for digest, length, keep, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -128,8 +136,14 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.insert(digest, length, keep, n)
             else:
                 gone.append((digest, length, keep, n))
+        if most is not None and index.size + len(gone) >= most:
+            yield from _rows([*map(tuple, index.entries()), *gone])
+            index, gone = CuckooIndex(), []
     rest = [x for x in gone if not index.delete(x[0], x[1], -x[3])]
-    rows = [*map(tuple, index.entries()), *rest]
+    yield from _rows([*map(tuple, index.entries()), *rest])
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), 10_000):
         cols = [*zip(*rows[at : at + 10_000], strict=True)]
         keep = [None if k == LEAST else k for k in cols[2]]
@@ -151,8 +165,9 @@ def classes(keyed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
         # a deleted row is inserted under the least id, so that it never stays, and taken off again
         off = off.select("digest", "n_bytes", F.lit(LEAST).alias("keep_id"), F.explode(F.expr("array(1L, -1L)")).alias("n"))
         rows = live.select(*off.columns).union(off)
-    partial = rows.mapInArrow(_combine, CLASSES)
-    return partial.repartition("digest").mapInArrow(_combine, CLASSES)
+    shards = max(shuffle_partitions(keyed.sparkSession), 1 + keyed.count() // INDEX_ROWS)
+    partial = rows.mapInArrow(functools.partial(_combine, most=INDEX_ROWS), CLASSES)
+    return partial.repartition(shards, "digest").mapInArrow(_combine, CLASSES)
 
 
 def exact_dedup(docs: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
@@ -178,4 +193,5 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     least = F.lit(LEAST)
     stay = classes(written(digests(docs), "digests")).select(F.coalesce("keep_id", least).alias("stays"), "digest", "n_bytes")
     rows = digests(docs, F.struct("*").alias("row")).withColumn("stays", F.coalesce("doc_id", least))
-    return rows.join(stay, ["stays", "digest", "n_bytes"], "left_semi").dropDuplicates(["digest", "n_bytes"]).select("row.*")
+    keys = ["stays", "digest", "n_bytes"]
+    return rows.dropDuplicates(keys).join(stay, keys, "left_semi").select("row.*")  # repeats go first, so one shuffle of texts serves both

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 from .tokens import encoder
 
-BLOCK_IDS, LANES = 1 << 19, 4096
+#: A lane codes so many ids at least, so that its block's model has as many steps to learn in.
+LANE_IDS = 512
+BLOCK_IDS, LANES = 1 << 22, 8192
 HEAD = struct.Struct("<4sIIIIII")  # magic, ids, documents, lanes, alphabet, CRC of ids, CRC of body
 MAGIC = b"CMR1"
 NO_ID = -(1 << 63)
@@ -208,7 +210,7 @@ def encode_block(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     ids = np.concatenate([np.asarray(x, np.uint32) for _, x in docs]) if docs else np.empty(0, np.uint32)
     keys = np.array([NO_ID if d is None else d for d, _ in docs], "<i8")
     sizes = np.array([len(x) for _, x in docs], "<u4")
-    lanes = int(np.clip(len(ids) // 32, 1, LANES))
+    lanes = int(np.clip(len(ids) // LANE_IDS, 1, LANES))
     alphabet = int(ids.max(initial=0)) + 1
     counts, words = encode_ids(ids, alphabet, lanes)
     body = keys.tobytes() + sizes.tobytes() + counts.astype("<u4").tobytes() + words.astype("<u2").tobytes()

@@ -6,7 +6,9 @@ Payloads that occur more than once are stored once; other captures of them are r
 
 Reading back, every archive gives a run of captures sorted by URL key and time. The runs are cut at common bounds (by
 Spark's range partitioning of URL key, time and record, so a hot URL or host is cut as well), and each range merges its
-pieces of all runs in a tree of losers, which yields the capture histories in global order.
+pieces of all runs in a tree of losers, which yields the capture histories in global order. An archive holds a bounded
+number of records, the runs are written once, and the number of ranges follows that of captures, so what a task holds
+doesn't grow with the input. A record's offset is that in its archive's uncompressed bytes.
 
 Defined cases: a null payload counts as empty, a null URL as an empty one; equal payloads are told by SHA-1 and length;
 captures that repeat a page_id and a payload are responses alike; other columns are
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, shuffle_partitions, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-EPOCH = 1_577_836_800  # captures without a time: page_id seconds after this one
+EPOCH = "2020-01-01 00:00:00"  # captures without a time: page_id seconds after this one
+#: Records of an archive, and captures (without payload) that a task merges.
+ARCHIVE_RECORDS, RANGE_ROWS = 20_000, 200_000
 
 
 def base32(hex_digest: Column) -> Column:
@@ -49,11 +53,13 @@ def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     digest = base32(F.col("sha"))
+    seconds = F.coalesce(F.pmod("page_id", F.lit(1 << 31)), F.lit(0)).cast("decimal(18,6)")
+    date = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)  # UTC, whatever the session's time zone
     line = "\r\n"
     head = F.concat(
         F.lit(f"WARC/1.1{line}WARC-Type: "), F.col("record_type"),
         F.lit(f"{line}WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(f">{line}WARC-Date: "), F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.pmod("page_id", F.lit(1 << 31)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit(f">{line}WARC-Date: "), F.translate(date.cast("string"), " ", "T"), F.lit("Z"),
         F.lit(f"{line}WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""),
         F.lit(f"{line}WARC-Payload-Digest: sha1:"), digest,
         F.when(revisit, F.concat(F.lit(f"{line}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{line}WARC-Refers-To: <urn:page:"), F.col("first_id").cast("string"), F.lit(f">{line}WARC-Payload-Length: "), F.col("n").cast("string"))).otherwise(F.lit("")),
@@ -64,7 +70,7 @@ def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = 0, compression: str = "gzip") -> None:
-    records(pages, min_payload).select("value").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    records(pages, min_payload).select("value").write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -165,7 +171,7 @@ def _order(row: tuple) -> tuple:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in global order: partition by partition, and in each row by row."""
+    """All captures in global order: partition by partition, and in each row by row. ``runs`` is read three times."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[str, list[tuple]] = {}
@@ -182,7 +188,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             yield _batch(out)
 
     keys = ["url_key", "captured", "archive", "record_offset"]
-    ranged = runs.repartitionByRange(*keys).sortWithinPartitions("archive", *keys)
+    ranges = 1 + runs.count() // RANGE_ROWS
+    ranged = runs.repartitionByRange(max(ranges, shuffle_partitions(runs.sparkSession)), *keys).sortWithinPartitions("archive", *keys)
     return ranged.mapInArrow(merge, CAPTURES)
 
 
@@ -195,4 +202,4 @@ def archive_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, min_payload)
-    return merge_runs(capture_runs(read_archives(spark, path)))
+    return merge_runs(written(capture_runs(read_archives(spark, path)), "capture-runs"))
