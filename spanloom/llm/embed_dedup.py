@@ -35,8 +35,8 @@ from .components import components
 from .simhash import _merge
 
 BLOCK = 8
-#: Vectors of a chunk: a tile compares two chunks at most.
-CHUNK = 12288
+#: Components of the vectors of a chunk: a tile compares two chunks at most, whatever the dimensions.
+CHUNK = 12288 * 64
 #: Coordinates of a block that may be cut, and how many compared pairs handing over one row is worth.
 CUTS, ROW_WORK = range(1, 6), 8000
 SLACK = 1e-9
@@ -61,18 +61,30 @@ def _rotated(raw: np.ndarray) -> np.ndarray:
     return _unit(raw) @ rotation(raw.shape[1])
 
 
+def _floats(raws: list[bytes], wide: bool) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return np.frombuffer(b"".join(raws), np.float64 if wide else np.float32).reshape(len(raws), -1).astype(np.float64)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, raw (the components as doubles, null where the vector can't link)."""
+    """vec_id, raw (the components, as wide as in ``vectors``; null where the vector can't link)."""
+    wide = _wide(vectors)
+    kind = np.float64 if wide else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.column(1):
                 x = None if not x.is_valid else np.array(x.as_py(), dtype=float)  # a null component is a NaN
-                out.append(None if x is None or not len(x) or not np.isfinite(x).all() or not x.any() else (x + 0.0).tobytes())
+                out.append(None if x is None or not len(x) or not np.isfinite(x).all() or not x.any() else (x + 0.0).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "raw"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, raw binary")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>" if wide else "array<float>")).mapInArrow(run, "vec_id long, raw binary")
+
+
+def _wide(vectors: DataFrame) -> bool:
+    """Whether components need eight bytes; those of a column of floats are handed on in four."""
+    return vectors.schema["embedding"].dataType.simpleString() != "array<float>"
 
 
 def _cells(rot: np.ndarray, part: slice, radius: float, cut: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -101,19 +113,19 @@ def _code(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_length(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(raws: list[bytes], wide: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix) for each length of vector."""
     sizes = np.array([len(r) for r in raws])
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
-        yield rows, np.frombuffer(b"".join(raws[i] for i in rows), float).reshape(len(rows), -1)
+        yield rows, _floats([raws[i] for i in rows], wide)
 
 
-def _tile(pdf: pd.DataFrame, threshold: float, cut: int) -> pd.DataFrame:
+def _tile(pdf: pd.DataFrame, threshold: float, cut: int, wide: bool) -> pd.DataFrame:
     """(id, links, root) of the vectors of one tile that link with another."""
     pdf = pdf.sort_values(["own_chunk", "id"], kind="stable")
     block, code, i, j = (int(pdf[c].iloc[0]) for c in ("block", "cell", "i", "j"))
-    raw = np.frombuffer(b"".join(pdf["raw"]), float).reshape(len(pdf), -1)
+    raw = _floats([*pdf["raw"]], wide)
     ids, copies, chunk = (pdf[c].to_numpy() for c in ("id", "n", "own_chunk"))
     unit, rot = _unit(raw), _rotated(raw)
     parts = blocks(raw.shape[1])
@@ -156,13 +168,14 @@ def _tile(pdf: pd.DataFrame, threshold: float, cut: int) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
+    wide = _wide(vectors)
     rows = written(usable(vectors).withColumn("key", F.sha2("raw", 256)), "vectors")
     classes = rows.filter("raw is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("raw").alias("raw"))
     classes = written(classes, "classes")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, raw in _by_length(batch.column(0).to_pylist()):
+            for _, raw in _by_length(batch.column(0).to_pylist(), wide):
                 rot = _rotated(raw)
                 for cut in CUTS:
                     for b, _, codes in _spread(rot, threshold, cut):
@@ -173,17 +186,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     # cells of a unit ball: their number depends on dimensions and radius alone, and only crowded ones are named
     counts = classes.select("raw").mapInArrow(count, "cut int, dims int, block int, cell long, n long")
     counts = written(counts.groupBy("cut", "dims", "block", "cell").agg(F.sum("n").alias("n")), "cells")
-    n = F.col("n").cast("double")
-    works = counts.groupBy("cut").agg(F.sum(n * F.ceil(n / CHUNK) * ROW_WORK + n * n / 2).alias("work"))
+    n, chunks = F.col("n").cast("double"), F.ceil(F.col("n") * F.col("dims") / CHUNK)
+    works = counts.groupBy("cut").agg(F.sum(n * chunks * ROW_WORK + n * n / 2).alias("work"))
     best = works.orderBy("work", "cut").first()  # a row for each number of cuts
     cut = best.cut if best else CUTS[0]
-    crowded = {(r.dims, r.block, r.cell): -(-r.n // CHUNK) for r in counts.filter((F.col("cut") == cut) & (F.col("n") > CHUNK)).collect()}
+    crowded = {(r.dims, r.block, r.cell): r.chunks for r in counts.withColumn("chunks", chunks).filter((F.col("cut") == cut) & (chunks > 1)).collect()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, raws = (c.to_pylist() for c in batch.columns)
             ids, n = np.array(ids, np.int64), np.array(n, np.int64)
-            for rows, raw in _by_length(raws):
+            for rows, raw in _by_length(raws, wide):
                 for b, hit, codes in _spread(_rotated(raw), threshold, cut):
                     own = np.array([hash((int(x), 7)) for x in ids[rows[hit]]], np.int64)
                     many = np.array([crowded.get((raw.shape[1], b, int(c)), 1) for c in codes], np.int64)
@@ -196,7 +209,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, ["dims", "block", "cell", "i", "j", "own_chunk", "id", "n", "raw"])
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _tile(pdf, threshold, cut)
+        return _tile(pdf, threshold, cut, wide)
 
     tiles = classes.select("id", "n", "raw").mapInArrow(deal, "dims int, block int, cell long, i int, j int, own_chunk int, id long, n long, raw binary")
     found = written(tiles.groupBy("dims", "block", "cell", "i", "j").applyInPandas(tile, "id long, links long, root long"), "links")
