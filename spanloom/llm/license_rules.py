@@ -98,11 +98,48 @@ bsd | redistribution use | redistribution\s+and\s+use\s+in\s+source\s+and\s+bina
 warranty-disclaimer | provided/distributed/licensed | (?:provided|distributed|licensed)\s+(?:on\s+an\s+)?["']?as[\s-]+is["']?
 non-commercial | commercial | (?:for\s+)?non[\s-]?commercial\s+(?:use|purposes)(?:\s+only)?
 proprietary | proprietary | proprietary\s+(?:and|&)\s+confidential|proprietary\s+licen[cs]e
+mit | permission notice | the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+shall\s+be\s+included
+mit | merge sublicen | merge,?\s+publish,?\s+distribute,?\s+sublicen[cs]e,?\s+and/or\s+sell
+isc | provided notice | provided\s+that\s+the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+appear\s+in\s+all\s+copies
+bsd | redistributions source | redistributions\s+of\s+source\s+code\s+must\s+retain\s+the\s+above\s+copyright
+bsd | redistributions binary | redistributions\s+in\s+binary\s+form\s+must\s+reproduce\s+the\s+above\s+copyright
+bsd-3-clause | endorse promote | to\s+endorse\s+or\s+promote\s+products\s+derived\s+from\s+this\s+software\s+without\s+specific\s+prior\s+written\s+permission
+bsd-4-clause | advertising mentioning | all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software
+x11 | advertising otherwise | shall\s+not\s+be\s+used\s+in\s+advertising\s+or\s+otherwise\s+to\s+promote\s+the\s+sale
+apache-2.0 | licenses license-2.0 | (?:https?://)?www\.apache\.org/licenses/license-2\.0(?:\.txt|\.html)?
+apache-2.0 | except compliance | you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+licen[cs]e
+apache-2.0 | perpetual royalty | perpetual,?\s+worldwide,?\s+non-exclusive,?\s+no-charge,?\s+royalty-free,?\s+irrevocable\s+(?:copyright|patent)\s+licen[cs]e
+apache | contributor agreements | foundation\s+\(asf\)\s+under\s+one\s+or\s+more\s+contributor\s+licen[cs]e\s+agreements
+gpl | redistribute modify | you\s+can\s+redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+terms\s+of\s+the\s+gnu
+gpl | distributed hope | distributed\s+in\s+the\s+hope\s+that\s+it\s+will\s+be\s+useful,?\s+but\s+without\s+any\s+warranty
+gpl | gnu.org licenses | (?:https?://)?www\.gnu\.org/licenses/(?:old-licenses/)?gpl(?:-[123]\.0)?
+lgpl | gnu.org licenses | (?:https?://)?www\.gnu\.org/licenses/(?:old-licenses/)?lgpl(?:-[23]\.[01])?
+agpl | gnu.org licenses | (?:https?://)?www\.gnu\.org/licenses/agpl(?:-3\.0)?
+gpl | verbatim document | everyone\s+is\s+permitted\s+to\s+copy\s+and\s+distribute\s+verbatim\s+copies\s+of\s+this\s+licen[cs]e\s+document
+gfdl | invariant sections | with\s+no\s+invariant\s+sections,?\s+no\s+front-cover\s+texts
+mpl-2.0 | mozilla subject | this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public\s+licen[cs]e
+boost | license_1_0 | (?:https?://)?www\.boost\.org/license_1_0\.txt
+boost | accompanying documentation | obtaining\s+a\s+copy\s+of\s+the\s+software\s+and\s+accompanying\s+documentation\s+covered\s+by\s+this\s+licen[cs]e
+zlib | altered plainly | altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked
+zlib | misrepresented origin | the\s+origin\s+of\s+this\s+software\s+must\s+not\s+be\s+misrepresented
+unlicense | unencumbered domain | free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain
+unlicense | unlicense.org | (?:https?://)?(?:www\.)?unlicense\.org
+cc0 | waives neighboring/waives neighbouring | waives\s+all\s+copyright\s+and\s+related\s+or\s+neighbou?ring\s+rights
+cc-by | creativecommons.org licenses | (?:https?://)?creativecommons\.org/licenses/by/[1-4]\.[05]
+cc-by-sa | creativecommons.org licenses | (?:https?://)?creativecommons\.org/licenses/by-sa/[1-4]\.[05]
+cc-by-nc | creativecommons.org licenses | (?:https?://)?creativecommons\.org/licenses/by-nc/[1-4]\.[05]
+cc0 | creativecommons.org publicdomain | (?:https?://)?creativecommons\.org/publicdomain/zero/1\.0
+ofl | reserved font | with\s+reserved\s+font\s+name
+warranty-disclaimer | merchantability fitness | merchantability,?\s+fitness\s+for\s+a\s+particular\s+purpose
+liability-disclaimer | event liable | in\s+no\s+event\s+shall\s+the\s+(?:authors|copyright\s+(?:owner|holders?))(?:\s+or\s+(?:copyright\s+holders|contributors))?\s+be\s+liable
+trade-secret | trade secrets | (?:contains|constitutes?)\s+(?:confidential\s+)?trade\s+secrets
+evaluation-only | evaluation license/evaluation licence | evaluation\s+licen[cs]e|licen[cs]e\s+for\s+evaluation\s+purposes\s+only
+academic-only | academic license/academic licence | academic(?:\s+use)?\s+licen[cs]e
 copyright-notice | copyright | copyright\s*(?:\(c\)|©)?\s*(?:19|20)\d\d
 """.strip()
 
 # Words of which every match of a rule holds one; texts without any go by unread.
-GATES = ("licen", "spdx", "bsd", "cc", "perl", "unicode", "wtfpl", "cecill", "beer", "openrail", "commons", "cdla", "mit", "reserved", "domain", "permission", "redistribution", "provided", "distributed", "commercial", "proprietary", "copyright")
+GATES = ("licen", "spdx", "bsd", "cc", "perl", "unicode", "wtfpl", "cecill", "beer", "openrail", "commons", "cdla", "mit", "reserved", "domain", "permission", "redistribution", "provided", "distributed", "commercial", "proprietary", "copyright", "advertising", "endorse", "redistribute", "invariant", "altered", "misrepresented", "waives", "merchantability", "liable", "secrets", "boost.org")
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:

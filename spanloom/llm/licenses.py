@@ -21,6 +21,8 @@ from .license_rules import GATES, rules
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases, word by word, and their labels.
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
+#: The score of a text in which only base phrases stand, such as "MIT. License".
+BASE_SCORE = 0.4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = 4
 RULES = rules()
@@ -106,5 +108,5 @@ def summary(scanned: DataFrame) -> DataFrame:
         F.when(some, F.array_max("places")).cast("long").alias("last_word"),
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", "detections.label")), ",").alias("labels"),
-        F.coalesce(F.array_max("detections.confidence"), F.lit(0.0)).alias("score"),
+        F.greatest(F.coalesce(F.array_max("detections.confidence"), F.lit(0.0)), F.when(some, BASE_SCORE).otherwise(0.0)).alias("score"),
     )
