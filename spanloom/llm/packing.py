@@ -3,7 +3,9 @@
 The lengths of all pieces form a histogram (at most ``capacity`` rows, whatever the corpus). Over it stands the
 configuration linear program: a configuration is a multiset of lengths that fits a sequence, and as few
 configurations as possible must cover every length as often as it occurs. Multiplicative weights solve it: lengths
-that are covered less weigh more, and a knapsack dynamic program prices the most valuable configuration. The
+that are covered less weigh more, and a knapsack dynamic program prices the most valuable configuration, in each round
+over those lengths that weigh most and others spread over all sizes. Once it is done, the program prices all lengths
+at once for a dual bound (``dual_bound``), by which the distance from the best packing is known. The
 fractional solution is rounded down; what is left goes, longest first, into the sequence with the least room that
 still fits. Pieces then take the slots of their length by a rank that is counted in two salted steps.
 
@@ -15,6 +17,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,9 +30,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, written
 from .tokens import encoder
 
-#: Lengths up to a capacity's so manieth part stay out of the program: they are sand that fills what it leaves.
-SMALL = 16
-#: A configuration is rounded if it leaves at most this part of the capacity unused.
+#: Configurations that leave more than this part of the capacity unused aren't rounded: their pieces are left to the last
+#: step, which fills sequences better than the program's last rounds do.
 FULL = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,6 +105,22 @@ def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = 300
     return out
 
 
+def dual_bound(histogram: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: the larger of two dual solutions of the program, each priced over all lengths.
+
+    One values a piece by its length, the other counts only pieces over half the capacity; the knapsack tells by how much
+    a solution must be scaled so that no configuration is worth more than one.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    need = np.array([histogram[x] for x in lengths.tolist()], float)
+    best = 0.0
+    for values in (lengths / capacity, (lengths * 2 > capacity).astype(float)):
+        config = knapsack(lengths, values, np.maximum(1, need), capacity)
+        worth = sum(values[np.searchsorted(lengths, x)] * c for x, c in config.items())
+        best = max(best, float((need * values).sum()) / worth if worth else 0.0)
+    return math.ceil(best - 1e-6)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """(number of sequences, copies of each length in one) that hold every piece of the histogram once."""
     left = {int(k): int(v) for k, v in histogram.items()}
@@ -115,10 +133,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
         groups[room].append([n, config])
 
     merged: dict[tuple, float] = defaultdict(float)
-    large = {k: v for k, v in left.items() if k * SMALL > capacity}
-    for amount, config in configuration_lp(large, capacity):
+    for amount, config in configuration_lp(left, capacity):
         if (capacity - sum(x * c for x, c in config.items())) * FULL > capacity:
-            continue  # what fills a sequence badly is left to the last step
+            continue
         merged[tuple(sorted(config.items()))] += amount
     for items, amount in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
         n = min([int(amount + 1e-6), *(left[x] // c for x, c in items)])
@@ -168,7 +185,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     shared = spark.sparkContext.broadcast(table)  # as long as the plan: a function of `capacity`, not of the corpus
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32") if "ids_crc32" in names else Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "salt"])
     ranked = ranked.select(*pieces.columns, (F.col("rank") + F.col("base")).cast("long").alias("rank"))
 

@@ -107,7 +107,9 @@ def test_plan_holds_each_piece_once_and_is_near_the_bound():
             for x, c in config.items():
                 held[x] += n * c
         assert held == histogram
+        bound = packing.dual_bound(histogram, 256)
         large = sum(v for k, v in histogram.items() if k > 128)
+        assert sum(n for n, _ in plan) >= bound >= max(large, sum(k * v for k, v in histogram.items()) / 256) - 1e-6
         assert sum(n for n, _ in plan) <= max(large, sum(k * v for k, v in histogram.items()) / 256) * 1.05 + 2
 
 
@@ -150,6 +152,18 @@ def test_blocks_round_trip_and_tell_damage():
     assert tokenfile.decode_block(tokenfile.encode_block([])) == []
 
 
+def test_token_blocks_are_smaller_than_their_order_0_entropy(spark):
+    from spanloom.llm.tokens import WordEncoder
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids, ends = WordEncoder(queries.word_tokenizer()).encode(texts)
+    block = tokenfile.encode_block([(i, ids[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))])
+    n = np.bincount(ids)
+    p = n[n > 0] / len(ids)
+    assert len(block) * 8 / len(ids) < -(p * np.log2(p)).sum() - 0.3
+    assert np.array_equal(np.concatenate([x for _, x in tokenfile.decode_block(block)]), ids)
+
+
 # 3 chat
 
 
