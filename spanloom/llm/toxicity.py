@@ -58,11 +58,13 @@ class Model:
 
     def _telling(self, words: set[str]) -> dict[str, tuple[str, ...]]:
         """Of the words, those with features that have a weight."""
-        if len(self.met) > MEMORY:
-            self.met.clear()
-        for w in words - self.met.keys():
-            self.met[w] = tuple(f for f in features(w) if f in self.weights)
-        return {w: found for w in words if (found := self.met[w])}
+        met, weights = self.met, self.weights
+        if len(met) > MEMORY:
+            met.clear()
+        for w in words:
+            if w not in met:
+                met[w] = tuple(f for f in features(w) if f in weights)
+        return {w: found for w in words if (found := met[w])}
 
     def _logit(self, telling: dict[str, tuple[str, ...]], words: set[str]) -> float:
         held = {f for w in words for f in telling.get(w, ())}
