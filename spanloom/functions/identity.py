@@ -35,8 +35,14 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 8)
 
 
+def dup_hash(text: Column) -> Column:
+    """What tells equal texts; the whole digest, as a short one would join unrelated texts of a large corpus."""
+    return F.sha1(collapsed(text))
+
+
 def dup_key(text: Column) -> Column:
-    return F.substring(F.sha1(collapsed(text)), 1, 6)
+    """The short form of ``dup_hash``, for show."""
+    return F.substring(dup_hash(text), 1, 6)
 
 
 def pointer_segment(key: Column) -> Column:

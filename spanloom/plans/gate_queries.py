@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
@@ -46,7 +47,7 @@ def reconcile_tiers(spark, sf_dir):
 
 
 def _turn_findings(spark, sf_dir):
-    sites = classified_turns(spark, sf_dir).withColumns({"file": F.concat(F.lit("conv/"), F.col("conv_id").cast("string")), "confidence": F.lit(1.0)})
+    sites = classified_turns(spark, sf_dir).withColumn("file", F.concat(F.lit("conv/"), F.col("conv_id").cast("string")))
     sites = sites.withColumn("site_key", F.concat("file", F.lit("#turn["), F.col("turn").cast("string"), F.lit("]")))
     return gates.g3_unadjudicated(sites).union(gates.g4_source_language(sites, "fr")).union(gates.g2_residual(sites))
 
@@ -54,7 +55,7 @@ def _turn_findings(spark, sf_dir):
 _FINDINGS_SQL = f"""
     SELECT CASE WHEN verdict = 'needs-judgment' THEN 'G3' ELSE 'G4' END AS gate, CASE WHEN verdict = 'needs-judgment' THEN 'unadjudicated' ELSE 'source-language' END AS kind,
       'conv/' || conv_id AS file, 'conv/' || conv_id || '#turn[' || turn || ']' AS site_key, CASE WHEN verdict = 'needs-judgment' THEN coalesce(reason, 'no reason') ELSE 'still in fr' END AS message
-    FROM ({CLASSIFIED_SQL}) WHERE verdict = 'needs-judgment' OR (verdict = 'translate' AND detected = 'fr')
+    FROM ({CLASSIFIED_SQL}) WHERE verdict = 'needs-judgment' OR (verdict = 'translate' AND detected = 'fr' AND confidence >= 0.7)
 """
 
 
@@ -102,12 +103,23 @@ _PATHS_SQL = "SELECT 'd' || (doc_id % 9) || '/' || source || '/' || doc_id AS fi
       CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 8 = 0 THEN 'scanned' ELSE 'scanned-zero' END WHEN doc_id % 4 = 1 OR file LIKE 'd3/%' OR file LIKE 'd5/src2/%' THEN 'skipped' ELSE 'unaccounted' END AS bucket,
       CASE WHEN doc_id % 4 = 1 THEN 'binary-ext' WHEN file LIKE 'd3/%' THEN 'ignore-dir' WHEN file LIKE 'd5/src2/%' THEN 'gitignored' END AS reason FROM ({_PATHS_SQL})) GROUP BY ALL""")
 def census_buckets(spark, sf_dir):
+    return _census(spark, sf_dir).groupBy("bucket", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _census(spark, sf_dir):
     file = F.concat(F.lit("d"), (F.col("doc_id") % 9).cast("string"), F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
     tracked = table(spark, sf_dir, "documents").select("doc_id", file.alias("file"))
     dirs = spark.createDataFrame([("d3", "ignore-dir"), ("d5/src2", "gitignored")], "dir string, reason string")
     walked = tracked.filter("doc_id % 4 = 0").select("file", (F.col("doc_id") % 8 == 0).alias("has_text"))
     skipped = tracked.filter("doc_id % 4 = 1").select("file", F.lit("binary-ext").alias("reason"))
-    return gates.census(tracked, walked, skipped, dirs).groupBy("bucket", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+    return gates.census(tracked, walked, skipped, dirs)
+
+
+@query(f"""
+    SELECT 'G1' AS gate, 'unaccounted' AS kind, file, file || ' is in no bucket' AS message FROM ({_PATHS_SQL}) WHERE doc_id % 4 > 1 AND file NOT LIKE 'd3/%' AND file NOT LIKE 'd5/src2/%'""")
+def gate_census(spark, sf_dir):
+    """G1 over the census of documents as paths."""
+    return gates.g1_census(_census(spark, sf_dir)).select("gate", "kind", "file", "message")
 
 
 @query("SELECT 'doc/' || d.doc_id AS file FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
@@ -116,21 +128,22 @@ def unaccounted_paths(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT doc_id // 4 AS k, lang, arg_max(regexp_extract(text, '^[^.\\n]{1,60}') || CASE WHEN doc_id % 3 = 0 THEN ' {0}' ELSE '' END, doc_id) AS value FROM documents GROUP BY 1, 2),
-    s AS (SELECT 'k' || k AS key, value AS src FROM d WHERE lang = 'en'), t AS (SELECT lang AS locale, 'k' || k AS key, CASE WHEN k % 6 = 0 THEN (SELECT any_value(src) FROM s WHERE s.key = 'k' || d.k) END AS same, value FROM d WHERE lang <> 'en'),
+    WITH d AS (SELECT doc_id // 4 AS k, lang, 'k' || (doc_id // 4) || '.' || row_number() OVER (PARTITION BY doc_id // 4, lang ORDER BY doc_id) AS key, text || CASE WHEN doc_id % 3 = 0 THEN ' {0}' ELSE '' END AS value FROM documents),
+    s AS (SELECT key, value AS src FROM d WHERE lang = 'en'), t AS (SELECT lang AS locale, key, CASE WHEN k % 6 = 0 THEN (SELECT any_value(src) FROM s WHERE s.key = d.key) END AS same, value FROM d WHERE lang <> 'en'),
     u AS (SELECT locale, key, coalesce(same, value) AS value FROM t), w AS (SELECT key, src, locale FROM s CROSS JOIN (SELECT DISTINCT locale FROM u)),
     m AS (SELECT coalesce(w.locale, u.locale) AS locale, coalesce(w.key, u.key) AS key, src, value FROM w FULL JOIN u ON w.key = u.key AND w.locale = u.locale)
     SELECT locale, class, count(*) AS n FROM (SELECT locale, CASE WHEN src IS NULL THEN 'orphan' WHEN value IS NULL THEN 'missing'
       WHEN list_sort(list_distinct(regexp_extract_all(src, '\\{\\d+\\}|\\{\\{\\w+\\}\\}|%[sd@]|\\{\\w+\\}'))) <> list_sort(list_distinct(regexp_extract_all(value, '\\{\\d+\\}|\\{\\{\\w+\\}\\}|%[sd@]|\\{\\w+\\}'))) THEN 'arity-mismatch'
-      WHEN substr(key, 2)::INT % 7 = 0 THEN 'stale' WHEN src = value AND regexp_matches(src, '\\p{L}{2,}') THEN 'untranslated' ELSE 'ok' END AS class FROM m) GROUP BY ALL""")
+      WHEN regexp_extract(key, '^k(\\d+)', 1)::INT % 7 = 0 THEN 'stale' WHEN src = value AND regexp_matches(src, '\\p{L}{2,}') THEN 'untranslated' ELSE 'ok' END AS class FROM m) GROUP BY ALL""")
 def catalog_sync_diff(spark, sf_dir):
-    text = F.concat(F.regexp_extract("text", r"^[^.\n]{1,60}", 0), F.when(F.col("doc_id") % 3 == 0, " {0}").otherwise(""))
-    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 4).alias("k"), "lang", F.struct("doc_id", text.alias("v")).alias("x"))
-    rows = docs.groupBy("k", "lang").agg(F.max("x").alias("x")).select("k", "lang", F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"), F.col("x.v").alias("value"))
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " {0}").otherwise(""))
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 4).alias("k"), "lang", "doc_id", text.alias("value"))
+    number = F.row_number().over(Window.partitionBy("k", "lang").orderBy("doc_id"))  # four rows at most
+    rows = docs.select("k", "lang", F.concat(F.lit("k"), F.col("k").cast("string"), F.lit("."), number.cast("string")).alias("key"), "value")
     source = rows.filter("lang = 'en'").select("key", "value")
     copied = source.select("key", F.col("value").alias("src"))
     targets = rows.filter("lang <> 'en'").join(copied, "key", "left").select(F.col("lang").alias("locale"), "key", F.when(F.col("k") % 6 == 0, F.coalesce("src", "value")).otherwise(F.col("value")).alias("value"), F.lit(False).alias("cognate"))
-    stale = targets.filter(F.substring("key", 2, 20).cast("int") % 7 == 0).select("locale", "key", F.lit("0" * 16).alias("src_hash"))
+    stale = targets.filter(F.regexp_extract("key", r"^k(\d+)", 1).cast("int") % 7 == 0).select("locale", "key", F.lit("0" * 16).alias("src_hash"))
     locales = targets.select("locale").distinct()  # a row a locale
     return sync.diff(source, targets, locales, stale).groupBy("locale", "class").agg(F.count("*").alias("n"))
 

@@ -10,10 +10,11 @@ from ..sources.tables import table
 from .registry import query
 from .site_queries import collapsed_sql
 
-# Sites of the plan: the first sentence of each turn and document; the role tells verdict and reason.
+# Sites of the plan: every turn, and every line of every document that isn't blank; the role tells verdict and reason.
 _SITES_SQL = """
-    SELECT 'conv/' || conv_id || '#turn[' || turn || ']' AS site_key, regexp_extract(text, '^[^.\\n]{1,80}') AS value, role FROM conversations
-    UNION ALL SELECT 'doc/' || doc_id || '#0', regexp_extract(text, '^[^.\\n]{1,80}'), CASE WHEN doc_id % 7 = 0 THEN 'test' WHEN doc_id % 11 = 0 THEN 'enum' ELSE 'doc' END FROM documents
+    SELECT 'conv/' || conv_id || '#turn[' || turn || ']' AS site_key, text AS value, role FROM conversations
+    UNION ALL SELECT 'doc/' || doc_id || '#' || i, value, CASE WHEN doc_id % 7 = 0 THEN 'test' WHEN doc_id % 11 = 0 THEN 'enum' ELSE 'doc' END
+      FROM (SELECT doc_id, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(value, ' ') <> ''
 """
 _RULED_SQL = f"""
     SELECT *, regexp_matches(value, '\\d') AS has_holes, value LIKE '%|%' AS grammar_hole, {collapsed_sql('value')} AS norm,
@@ -31,10 +32,10 @@ GROUPS_SQL = f"""
 
 
 def _sites(spark, sf_dir):
-    first = F.regexp_extract("text", r"^[^.\n]{1,80}", 0)
-    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("#turn["), F.col("turn").cast("string"), F.lit("]")).alias("site_key"), first.alias("value"), "role")
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("#turn["), F.col("turn").cast("string"), F.lit("]")).alias("site_key"), F.col("text").alias("value"), "role")
     kind = F.when(F.col("doc_id") % 7 == 0, "test").when(F.col("doc_id") % 11 == 0, "enum").otherwise("doc")
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("#0")).alias("site_key"), first.alias("value"), kind.alias("role"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "value")).filter(F.trim("value") != "")
+    docs = lines.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("#"), F.col("i").cast("string")).alias("site_key"), "value", kind.alias("role"))
     rows = turns.union(docs)
     return rows.select(
         "site_key",
@@ -97,16 +98,16 @@ def glossary_slice(spark, sf_dir):
     return plan.glossary_slices(items, terms)
 
 
-# Pairs: a user's turn and the next one, cut alike; every third turn gets a placeholder, a brace or a backtick.
+# Pairs: a user's turn and the next one; every third turn gets a placeholder, a brace or a backtick.
 _PAIRS_SQL = """
-    WITH a AS (SELECT conv_id, turn, role, regexp_extract(text, '^[^.]{0,90}') || CASE turn % 3 WHEN 0 THEN ' {0}' WHEN 1 THEN ' {0} {1}' ELSE '' END || CASE WHEN conv_id % 5 = 0 AND turn % 2 = 1 THEN ' `x` ${y}' WHEN conv_id % 7 = 0 AND turn % 2 = 1 THEN ' {O} ' ELSE '' END AS t FROM conversations),
+    WITH a AS (SELECT conv_id, turn, role, text || CASE turn % 3 WHEN 0 THEN ' {0}' WHEN 1 THEN ' {0} {1}' ELSE '' END || CASE WHEN conv_id % 5 = 0 AND turn % 2 = 1 THEN ' `x` ${y}' WHEN conv_id % 7 = 0 AND turn % 2 = 1 THEN ' {O} ' ELSE '' END AS t FROM conversations),
     p AS (SELECT u.conv_id, u.turn, u.t AS source, CASE WHEN u.conv_id % 9 = 0 THEN u.t WHEN u.conv_id % 13 = 0 THEN ' ' ELSE v.t END AS translation, (ceil(length(u.t) * 1.35::DOUBLE) + 4)::BIGINT AS max FROM a u JOIN a v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user')
 """
 
 
 def _pairs(spark, sf_dir):
     t = F.concat(
-        F.regexp_extract("text", "^[^.]{0,90}", 0),
+        F.col("text"),
         F.when(F.col("turn") % 3 == 0, " {0}").when(F.col("turn") % 3 == 1, " {0} {1}").otherwise(""),
         F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") % 2 == 1), " `x` ${y}").when((F.col("conv_id") % 7 == 0) & (F.col("turn") % 2 == 1), " {O} ").otherwise(""),
     )

@@ -42,41 +42,41 @@ def paragraph_sites(spark, sf_dir):
 
 IDENTITY_SQL = f"""
     SELECT file, path, file || '#' || path AS site_key, 'ul_' || sha1(file || '#' || path)[:12] AS id,
-      sha1(nfc_normalize(value))[:8] AS content_hash, sha1({collapsed_sql('nfc_normalize(value)')})[:6] AS dup_key
+      sha1(nfc_normalize(value))[:8] AS content_hash, sha1({collapsed_sql('nfc_normalize(value)')})[:6] AS dup_key, sha1({collapsed_sql('nfc_normalize(value)')}) AS dup_hash
     FROM ({LINES_SQL})
 """
 
 
 @query(IDENTITY_SQL)
 def site_identity(spark, sf_dir):
-    return tables.with_identity(doc_lines(spark, sf_dir)).select("file", "path", "site_key", "id", "content_hash", "dup_key")
+    return tables.with_identity(doc_lines(spark, sf_dir)).select("file", "path", "site_key", "id", "content_hash", "dup_key", "dup_hash")
 
 
-@query(f"SELECT dup_key, count(*) AS n FROM ({IDENTITY_SQL}) GROUP BY dup_key HAVING count(*) > 1")
+@query(f"SELECT dup_hash, count(*) AS n FROM ({IDENTITY_SQL}) GROUP BY dup_hash HAVING count(*) > 1")
 def dup_groups(spark, sf_dir):
-    return tables.with_identity(doc_lines(spark, sf_dir)).groupBy("dup_key").agg(F.count("*").alias("n")).filter("n > 1")
+    return tables.with_identity(doc_lines(spark, sf_dir)).groupBy("dup_hash").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @query(f"""
-    WITH s AS ({IDENTITY_SQL}), f AS (SELECT dup_key, arg_min(site_key, (file, path)) AS first_key, count(*) AS n FROM s GROUP BY dup_key HAVING count(*) > 1)
-    SELECT s.site_key, f.first_key FROM s JOIN f USING (dup_key) WHERE s.site_key <> f.first_key""")
+    WITH s AS ({IDENTITY_SQL}), f AS (SELECT dup_hash, arg_min(site_key, (file, path)) AS first_key, count(*) AS n FROM s GROUP BY dup_hash HAVING count(*) > 1)
+    SELECT s.site_key, f.first_key FROM s JOIN f USING (dup_hash) WHERE s.site_key <> f.first_key""")
 def dup_links(spark, sf_dir):
     """Each repeated line with the first of its group: an aggregation combined before the shuffle, then a join that can split hot groups."""
-    sites = tables.with_identity(doc_lines(spark, sf_dir)).select("dup_key", "site_key", "file", "path")
-    first = sites.groupBy("dup_key").agg(F.min(F.struct("file", "path", "site_key")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    return sites.join(first, "dup_key").select("site_key", F.col("f.site_key").alias("first_key")).filter("site_key <> first_key")
+    sites = tables.with_identity(doc_lines(spark, sf_dir)).select("dup_hash", "site_key", "file", "path")
+    first = sites.groupBy("dup_hash").agg(F.min(F.struct("file", "path", "site_key")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    return sites.join(first, "dup_hash").select("site_key", F.col("f.site_key").alias("first_key")).filter("site_key <> first_key")
 
 
 _TURN_LANG = lang.detect_sql("conversations", "text", "conv_id, turn, text", ("en", "fr", "de", "es"))
 
 
 @query(f"""
-    SELECT dup_key, count(*) AS n, count(DISTINCT detected) AS languages FROM
-      (SELECT detected, sha1({collapsed_sql('text')})[:6] AS dup_key FROM ({_TURN_LANG}))
-    GROUP BY dup_key HAVING count(*) > 1 AND count(DISTINCT detected) > 1""")
+    SELECT dup_hash, count(*) AS n, count(DISTINCT detected) AS languages FROM
+      (SELECT detected, sha1({collapsed_sql('text')}) AS dup_hash FROM ({_TURN_LANG}))
+    GROUP BY dup_hash HAVING count(*) > 1 AND count(DISTINCT detected) > 1""")
 def dup_divergence(spark, sf_dir):
     turns = lang.detect_columns(table(spark, sf_dir, "conversations").select("text"), "text", ("en", "fr", "de", "es"))
-    groups = turns.groupBy(identity.dup_key(F.col("text")).alias("dup_key")).agg(F.count("*").alias("n"), F.countDistinct("detected").alias("languages"))
+    groups = turns.groupBy(identity.dup_hash(F.col("text")).alias("dup_hash")).agg(F.count("*").alias("n"), F.countDistinct("detected").alias("languages"))
     return groups.filter("n > 1 and languages > 1")
 
 

@@ -38,7 +38,7 @@ _PAIR = ("fr", "en")
 _TURN_SQL = lang.detect_sql("conversations", "text", "conv_id, turn, role, text AS value", _PAIR)
 _COGNATE = ", ".join(sql(c) for c in COGNATES)
 CLASSIFIED_SQL = f"""
-    SELECT conv_id, turn, role, value, detected, verdict, CASE verdict WHEN 'translate' THEN NULL ELSE reason END AS reason FROM (SELECT *,
+    SELECT conv_id, turn, role, value, detected, confidence, verdict, CASE verdict WHEN 'translate' THEN NULL ELSE reason END AS reason FROM (SELECT *,
       CASE WHEN {shapes.is_design_token_sql('value')} OR {_m(shapes.MEDIA)} OR {_m(shapes.URL)} OR {_m(shapes.SLUG)} OR NOT {_m(shapes.WORDY)} THEN 'do-not-translate'
         WHEN {shapes.is_date_pattern_sql('value')} THEN 'needs-judgment'
         WHEN {_m(shapes.LOCALE)} THEN CASE WHEN value LIKE 'fr-%' THEN 'locale-marker' ELSE 'do-not-translate' END
@@ -54,7 +54,7 @@ CLASSIFIED_SQL = f"""
 
 def classified_turns(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("value"))
-    return C.classify(turns, *_PAIR).select("conv_id", "turn", "role", "value", "detected", "verdict", "reason")
+    return C.classify(turns, *_PAIR).select("conv_id", "turn", "role", "value", "detected", "confidence", "verdict", "reason")
 
 
 @query(CLASSIFIED_SQL)

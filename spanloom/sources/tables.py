@@ -39,9 +39,9 @@ def paragraph_sites(rows: DataFrame, file: Column, text: str) -> DataFrame:
 
 
 def with_identity(sites: DataFrame) -> DataFrame:
-    """Adds site_key, id, content_hash and dup_key to sites with file, path and value (in normal form C)."""
+    """Adds site_key, id, content_hash, dup_key and dup_hash to sites with file, path and value (in normal form C)."""
     key = identity.site_key(F.col("file"), F.col("path"))
-    return sites.withColumns({"site_key": key, "id": identity.short_id("ul_", key), "content_hash": identity.content_hash(F.col("value")), "dup_key": identity.dup_key(F.col("value"))})
+    return sites.withColumns({"site_key": key, "id": identity.short_id("ul_", key), "content_hash": identity.content_hash(F.col("value")), "dup_key": identity.dup_key(F.col("value")), "dup_hash": identity.dup_hash(F.col("value"))})
 
 
 def document_file() -> Column:
