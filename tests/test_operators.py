@@ -92,3 +92,15 @@ def test_next_site(spark):
     pragmas = spark.createDataFrame([("f", 5, "note"), ("f", 90, "last")], "file string, start long, note string")
     sites = spark.createDataFrame([("f", 1, "a"), ("f", 8, "b"), ("g", 6, "c")], "file string, start long, site_key string")
     assert rows(plural.next_site(pragmas, sites)) == [("f", 5, "note", "b"), ("f", 90, "last", None)]
+
+
+def test_rules_that_need_a_pointer_in_the_file(spark):
+    from spanloom.operators import rules
+
+    rows = [("a/manifest.json", "/omnibox/keyword"), ("a/manifest.json", "/manifest_version"), ("b/manifest.json", "/omnibox/keyword"), ("LICENSE", None), (None, "/description")]
+    out = {(r.file, r.path): (r.rule, r.rule_hard) for r in rules.match_rules(spark.createDataFrame(rows, "file string, path string").withColumn("rule", F.lit("old"))).collect()}
+    assert out["a/manifest.json", "/omnibox/keyword"] == ("webext.manifest.text", False)
+    assert out["b/manifest.json", "/omnibox/keyword"] == (None, None)
+    assert out["LICENSE", None] == ("legal.vendored-verbatim", True)
+    assert out[None, "/description"] == (None, None)
+    assert len({r["rule"] for r in rules.catalog()}) == 20
