@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +45,11 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.split(text) if s.strip()]
 
 
+def _letter(c: str) -> bool:
+    """Whether ``WORD`` takes the character."""
+    return c.isalnum() and not c.isdecimal()
+
+
 def features(word: str) -> list[str]:
     """A word in lower case, and its beginnings."""
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
@@ -55,6 +61,10 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     #: Words met before, with those of their features that have a weight.
     met: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
+    finder: object = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"met": {}, "finder": None}
 
     def _telling(self, words: set[str]) -> dict[str, tuple[str, ...]]:
         """Of the words, those with features that have a weight."""
@@ -74,12 +84,26 @@ class Model:
         words = {*WORD.findall(sentence.lower())}
         return self._logit(self._telling(words), words)
 
+    def _told(self, low: str) -> bool:
+        """Whether a word of the text has a weight: an automaton finds weighted words and stems, their ends are looked at."""
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            for f in {f.removesuffix("*") for f in self.weights}:
+                self.finder.add_word(f, (len(f), f in self.weights, f + "*" in self.weights))
+            self.finder.make_automaton()
+        for last, (size, word, stem) in self.finder.iter(low):
+            if last >= size and _letter(low[last - size]):
+                continue
+            if stem if last + 1 < len(low) and _letter(low[last + 1]) else word:
+                return True
+        return False
+
     def score(self, text: str | None) -> float:
-        """Noisy-or over the sentences of a whole text."""
+        """Noisy-or over the sentences of a whole text. Where no word has a weight, their number is enough."""
         if not text or not self.weights:
             return 0.0
         low, found, plain = text.lower(), [], 0
-        telling = self._telling({*WORD.findall(low)})
+        telling = self._telling({*WORD.findall(low)}) if self._told(low) else {}
         for s in SENTENCE.split(low):
             if telling and (words := telling.keys() & WORD.findall(s)):
                 found.append(self._logit(telling, words))
