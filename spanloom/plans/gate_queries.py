@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import gates, reconcile, sync
+from ..operators import classify, gates, reconcile, sync
+from ..sources import tables
 from ..sources.tables import table
-from .registry import query
+from . import plural_queries
+from .registry import ORACLES, query
 from .token_queries import CLASSIFIED_SQL, classified_turns
 
 # the snapshots differ by arithmetic: some rows go, some lose a word, some are renumbered
@@ -122,6 +124,20 @@ def gate_census(spark, sf_dir):
     return gates.g1_census(_census(spark, sf_dir)).select("gate", "kind", "file", "message")
 
 
+@query("SELECT 'G2' AS gate, 'residual' AS kind, 'conv/' || conv_id AS file, 'conv/' || conv_id || '#turn[' || turn || ']' AS site_key FROM conversations WHERE turn % 5 = 0")
+def gate_residual(spark, sf_dir):
+    """G2: what only the sweep has found stays unclassified, whatever its text says."""
+    turns = tables.turn_sites(table(spark, sf_dir, "conversations")).withColumn("tier", F.when(F.col("turn") % 5 == 0, "sweep"))
+    sites = turns.withColumn("site_key", F.concat("file", F.lit("#"), "path"))
+    return gates.g2_residual(classify.classify(sites, "fr", "en")).select("gate", "kind", "file", "site_key")
+
+
+@query(f"SELECT 'G7' AS gate, 'unclaimed-plural' AS kind, split_part(site_key, '#', 1) AS file, site_key, list_aggregate(signals, 'string_agg', ', ') AS message FROM ({ORACLES['plural_suspects']})")
+def gate_plurals(spark, sf_dir):
+    """G7 over the suspicions of the bundles, none of which a dialect claims here."""
+    return gates.g7_plurals(plural_queries.plural_suspects(spark, sf_dir).withColumn("file", F.substring_index("site_key", "#", 1)))
+
+
 @query("SELECT 'doc/' || d.doc_id AS file FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
 def unaccounted_paths(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file"))
