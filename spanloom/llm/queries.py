@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embed_dedup, exact_dedup, licenses, packing, periodic, piece_match, simhash, tokenfile, toxicity, warc
+from . import byte_bpe, chat, embed_dedup, exact_dedup, licenses, packing, periodic, piece_match, prefix_trie, simhash, tokenfile, toxicity, warc
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), prepare=periodic.plant_periods))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_embedding_near_dedup,
         op10_simhash_near_dedup,
+        op11_prefix_trie,
         op12_periodic_runs,
         op13_byte_bpe,
     )
