@@ -101,10 +101,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: crc32 in SQL: ``tab`` has the one-row list t of its byte table; {0} is an integer, whose decimal is hashed.
+CRC_TABLE = """tab AS (
+    SELECT list(v ORDER BY n) AS t FROM (
+        SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n)))"""
+CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+WORDS_SQL = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_prefix_trie": f"""
+        WITH {CRC_TABLE},
+        turns AS (
+            SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+            FROM conversations),
+        convs AS (SELECT c, n, {CRC.format("c")} % 4 AS h, c - c % 20 AS b FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), tab),
+        built AS (
+            SELECT k.c, t.p, t.r, t.x FROM convs k JOIN turns t ON t.c = k.b AND t.p <= k.h
+            UNION ALL SELECT k.c, t.p, t.r, t.x FROM convs k JOIN turns t ON t.c = k.c AND t.p > k.h),
+        lists AS (SELECT k.c, coalesce(list({{'r': t.r, 'x': t.x}} ORDER BY t.p) FILTER (t.p IS NOT NULL), []) AS l FROM convs k LEFT JOIN built t ON t.c = k.c GROUP BY k.c),
+        members AS (SELECT c, l, d, l[1:d] AS pre FROM (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM lists)),
+        nodes AS (
+            SELECT pre, d, min(c) AS c, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE len({WORDS_SQL.format("any_value(l[d].x)")}) END AS words,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends
+            FROM members GROUP BY pre, d),
+        below AS (SELECT pre[1:d - 1] AS up, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+        own AS (SELECT v.*, coalesce(b.n, 0) AS n_children FROM nodes v LEFT JOIN below b ON b.up = v.pre),
+        totals AS (
+            SELECT pre[1:e] AS top, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n_convs - 1) * words) AS saved
+            FROM (SELECT pre, n_children, n_convs, words, unnest(range(d + 1)) AS e FROM own) GROUP BY ALL)
+        SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, u.c AS parent_conv_id, v.n_convs, v.n_children,
+               CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+        FROM own v JOIN totals t ON t.top = v.pre LEFT JOIN own u ON v.d > 0 AND u.d = v.d - 1 AND u.pre = v.pre[1:v.d - 1]
+    """,
+    "op12_periodic_runs": f"""
+        WITH {CRC_TABLE},
+        plain AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w, {CRC.format("doc_id")} AS h FROM documents, tab),
+        marked AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, h // 10 AS g FROM plain),
+        placed AS (SELECT *, CASE WHEN hit THEN g % n END AS a FROM marked),
+        tails AS (SELECT *, CASE WHEN hit THEN 1 + (n - a) // (3 + g % 8) END AS p FROM placed),
+        pos AS (
+            SELECT doc_id, n, i, CASE WHEN hit AND i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END AS word
+            FROM (SELECT *, unnest(range(n)) AS i FROM tails)),
+        same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM pos x JOIN pos y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+        stretches AS (
+            SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same)
+            GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS (
+            SELECT * FROM stretches x WHERE NOT EXISTS (
+                SELECT 1 FROM stretches y WHERE y.doc_id = x.doc_id AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+        listed AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM runs GROUP BY doc_id),
+        best AS (SELECT * FROM runs x WHERE NOT EXISTS (
+            SELECT 1 FROM runs y WHERE y.doc_id = x.doc_id AND (y.l * x.q > x.l * y.q OR (y.l * x.q = x.l * y.q AND (y.s < x.s OR (y.s = x.s AND y.q < x.q)))))),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+        kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS txt FROM pos p ANTI JOIN dropped d ON d.doc_id = p.doc_id AND d.i = p.i GROUP BY p.doc_id)
+        SELECT m.doc_id, coalesce(r.n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+               sha256(coalesce(r.txt, '')) AS runs_sha256, sha256(coalesce(k.txt, '')) AS collapsed_sha256
+        FROM marked m LEFT JOIN listed r ON r.doc_id = m.doc_id LEFT JOIN best b ON b.doc_id = m.doc_id LEFT JOIN kept k ON k.doc_id = m.doc_id
+    """,
 }

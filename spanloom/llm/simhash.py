@@ -9,8 +9,9 @@ once to every prefix that its ball reaches (37 of 256 at k = 8), and the task th
 there. A crowded prefix is split on further bits, within fixed memory.
 
 Defined cases: a null text counts as empty and has fingerprint zero, like a text of white space alone, and is linked
-like any other; a text of fewer words than a shingle is one shingle; equal ids are one node; other columns are
-ignored; an empty table gives no rows. All documents with one fingerprint are one node whose number is their least id.
+like any other; a text of fewer words than a shingle is one shingle; rows are linked by their fingerprints alone, so
+rows of one id, or of none, are separate rows; a component without any id has a null component_id; other columns are
+ignored; an empty table gives no rows. All rows with one fingerprint are one node.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import written
 from .components import components
@@ -70,17 +72,19 @@ def fingerprint_texts(texts: list[str | None], words: int = 4, seed: int = 42) -
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id with its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 4, *more: Column) -> DataFrame:
+    """doc_id with its fingerprint as a signed long, and ``more``."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+    kept = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 prints = fingerprint_texts(part.column(1).to_pylist(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(prints)], [*(f.name for f in kept), "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, StructType([*kept, StructField("fp", LongType())]))
 
 
 @lru_cache(maxsize=256)
@@ -133,39 +137,53 @@ def _meet(fps: np.ndarray, own: np.ndarray, spare: np.ndarray, bits: int, label:
 
 
 def _in_prefix(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Edges of a spanning forest of the nodes whose balls meet within one prefix."""
-    fps, ids = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy()
-    order = np.argsort(ids)
-    fps, ids = fps[order], ids[order]
+    """Edges of a spanning forest of the fingerprints whose balls meet within one prefix."""
+    signed = np.sort(pdf["fp"].to_numpy())
+    fps = signed.view(np.uint64)
     spare = 2 - np.bitwise_count((fps >> np.uint64(64 - k)) ^ np.uint64(pdf["prefix"].iloc[0])).astype(np.int64)
-    label = np.arange(len(ids))
-    _meet(fps, np.arange(len(ids)), spare, 64 - k, label)
-    child = np.flatnonzero(label != np.arange(len(ids)))
-    return pd.DataFrame({"a": ids[child], "b": ids[label[child]]})
+    label = np.arange(len(fps))
+    _meet(fps, np.arange(len(fps)), spare, 64 - k, label)
+    child = np.flatnonzero(label != np.arange(len(fps)))
+    return pd.DataFrame({"a": signed[child], "b": signed[label[child]]})
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, per_prefix: int = 1000) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that chains of links of 4 bits or fewer reach.
+def _grouped(prints: DataFrame, per_prefix: int) -> DataFrame:
+    """(fp, group: the least fingerprint that links reach) of the distinct fingerprints among ``prints``.
 
     The prefix length follows the number of distinct fingerprints, about ``per_prefix`` to a prefix.
     """
-    prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = written(prints.select("fp").distinct(), "nodes")
     k = min(24, max(4, math.ceil(math.log2(max(1, nodes.count()) / per_prefix))))
     flips = F.array(*(F.lit(int(m)).cast("long") for m in _masks(k, 2)))
     home = F.shiftrightunsigned("fp", 64 - k)
-    # a null id alone in its node has no number to link by and stays alone
-    balls = nodes.filter("id is not null").select("fp", "id", F.explode(F.transform(flips, lambda m: home.bitwiseXOR(m))).alias("prefix"))
+    balls = nodes.select("fp", F.explode(F.transform(flips, lambda m: home.bitwiseXOR(m))).alias("prefix"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         return _in_prefix(pdf, k)
 
     edges = balls.groupBy("prefix").applyInPandas(link, "a long, b long")
-    found = nodes.join(components(edges), F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return nodes.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, per_prefix: int = 1000) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that chains of links of 4 bits or fewer reach."""
+    prints = written(fingerprints(docs, words), "fingerprints")
+    groups = written(_grouped(prints, per_prefix), "groups")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("id")).join(groups, "fp").groupBy("group").agg(F.min("id").alias("component_id"))
+    return prints.join(groups.join(least, "group"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it."""
-    stay = near_duplicates(docs, words).filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
+def drop_near_copies(docs: DataFrame, words: int = 4, per_prefix: int = 1000) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id (null last; ties: the least digest of the text).
+
+    Rows are told apart by doc_id and text, so different texts under one doc_id, or under none, stay or go by their own
+    component; of rows that repeat a doc_id and a text one stays at most.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(text, 256).alias("digest"), F.struct("*").alias("row"))
+    prints = written(fingerprints(docs, words, F.sha2(text, 256).alias("digest")), "fingerprints").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "digest")
+    of_print = written(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
+    stay = of_print.join(_grouped(of_print, per_prefix), "fp").groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.id").alias("stays"), F.col("first.digest").alias("d"))
+    met = keyed.join(stay, F.col("id").eqNullSafe(F.col("stays")) & (F.col("digest") == F.col("d")), "left_semi")
+    return met.dropDuplicates(["id", "digest"]).select("row.*")

@@ -577,16 +577,17 @@ def test_balls_meet_at_every_distance(spark, monkeypatch):
             fps.append(f ^ sum(1 << b for b in rng.sample(range(64), d)))
     fps = [*dict.fromkeys(fps)]
     links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    number = {int(np.uint64(f).view(np.int64)): i for i, f in enumerate(fps)}
     import pandas as pd
 
     for at_once in (simhash.AT_ONCE, 3000):
         monkeypatch.setattr(simhash, "AT_ONCE", at_once)
         k, found = 4, []
         for prefix in range(16):
-            rows = [(int(np.uint64(f).view(np.int64)), i, prefix) for i, f in enumerate(fps) if (f >> 60 ^ prefix).bit_count() <= 2]
+            rows = [(int(np.uint64(f).view(np.int64)), prefix) for f in fps if (f >> 60 ^ prefix).bit_count() <= 2]
             if rows:
-                edges = simhash._in_prefix(pd.DataFrame(rows, columns=["fp", "id", "prefix"]), k)
-                found += [*zip(edges.a.tolist(), edges.b.tolist(), strict=True)]
+                edges = simhash._in_prefix(pd.DataFrame(rows, columns=["fp", "prefix"]), k)
+                found += [(number[a], number[b]) for a, b in zip(edges.a.tolist(), edges.b.tolist(), strict=True)]
         assert root_of(found, range(len(fps))) == root_of(links, range(len(fps)))
 
 
