@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.rule_data import RULES, VENDORED
 from ..functions.rx import glob_filter
 from ..functions.vocab import first_match
+from ..sources import inventory
+from . import classify
 
 FIELDS = ("rule", "matcher", "files", "pattern", "surface", "verdict", "reason", "hard")
 OUT = ("rule", "rule_surface", "rule_verdict", "rule_reason", "rule_hard")
@@ -75,3 +77,10 @@ def match_rules(sites: DataFrame, rules: list[dict[str, str]] | None = None) ->
     out = out.withColumn("_hit", hit)
     kept = [c for c in sites.columns if c not in OUT]
     return out.select(*kept, *(F.col(f"_hit.{n.removeprefix('rule_')}").alias(n) for n in OUT))
+
+
+def verdicts(files: DataFrame, source: str, target: str, rules: list[dict[str, str]] | None = None) -> DataFrame:
+    """Files to verdicts in one plan: readers, container facts, dual use, rules, language, cascade and harmonised branches."""
+    found = inventory.with_dual_use(inventory.sites(files))
+    decided = classify.classify(match_rules(found, rules), source, target)
+    return classify.harmonise(decided.withColumn("branch_group", F.nullif("branch_group", F.lit(""))))

@@ -10,13 +10,14 @@ from ..sources.tables import table
 from .registry import query
 
 
-def _quoted(text: Column) -> Column:
+def quoted(text: Column) -> Column:
     """The text as a quoted JSON string."""
     whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))
     return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
-def _markup(text: Column) -> Column:
+def markup_escaped(text: Column) -> Column:
+    """The text with its marks as entities."""
     for c, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(c), F.lit(by))
     return text
@@ -28,11 +29,11 @@ def _doc() -> Column:
 
 #: Format: the ending of the file's name, its text, and the path of the span that holds the document's text.
 FILES = {
-    "json": (".json", lambda: F.concat(F.lit('{"lang": "'), "lang", F.lit('", // note\n "body": [{"text": '), _quoted(F.col("text")), F.lit("},]}")), "/body/0/text"),
-    "yaml": (".yml", lambda: F.concat(F.lit("# note\nlang: "), "lang", F.lit("\nbody:\n  - text: "), _quoted(F.col("text")), F.lit("\n    n: 1\n")), "/body/0/text"),
-    "toml": (".toml", lambda: F.concat(F.lit("[[body]]\nlang = '"), "lang", F.lit("'\ntext = "), _quoted(F.col("text")), F.lit(" # note\n")), "/body/0/text"),
-    "po": (".po", lambda: F.concat(F.lit('# note\nmsgid "'), _doc(), F.lit('"\nmsgstr '), _quoted(F.col("text")), F.lit("\n")), "/0/msgstr"),
-    "markup": (".html", lambda: F.concat(F.lit("<!-- note --><p lang='"), "lang", F.lit("' title=\""), _markup(F.col("text")), F.lit("\">x</p>")), "p/@title"),
+    "json": (".json", lambda: F.concat(F.lit('{"lang": "'), "lang", F.lit('", // note\n "body": [{"text": '), quoted(F.col("text")), F.lit("},]}")), "/body/0/text"),
+    "yaml": (".yml", lambda: F.concat(F.lit("# note\nlang: "), "lang", F.lit("\nbody:\n  - text: "), quoted(F.col("text")), F.lit("\n    n: 1\n")), "/body/0/text"),
+    "toml": (".toml", lambda: F.concat(F.lit("[[body]]\nlang = '"), "lang", F.lit("'\ntext = "), quoted(F.col("text")), F.lit(" # note\n")), "/body/0/text"),
+    "po": (".po", lambda: F.concat(F.lit('# note\nmsgid "'), _doc(), F.lit('"\nmsgstr '), quoted(F.col("text")), F.lit("\n")), "/0/msgstr"),
+    "markup": (".html", lambda: F.concat(F.lit("<!-- note --><p lang='"), "lang", F.lit("' title=\""), markup_escaped(F.col("text")), F.lit("\">x</p>")), "p/@title"),
 }
 
 

@@ -37,8 +37,12 @@ def token_shape_cascade(spark, sf_dir):
 _PAIR = ("fr", "en")
 _TURN_SQL = lang.detect_sql("conversations", "text", "conv_id, turn, role, text AS value", _PAIR)
 _COGNATE = ", ".join(sql(c) for c in COGNATES)
-CLASSIFIED_SQL = f"""
-    SELECT conv_id, turn, role, value, detected, confidence, verdict, CASE verdict WHEN 'translate' THEN NULL ELSE reason END AS reason FROM (SELECT *,
+
+
+def classified_sql(rows: str, keep: str) -> str:
+    """The cascade over detected ``rows`` with a value of which nothing else is known, as SQL."""
+    return f"""
+    SELECT {keep}, value, detected, confidence, verdict, CASE verdict WHEN 'translate' THEN NULL ELSE reason END AS reason FROM (SELECT *,
       CASE WHEN {shapes.is_design_token_sql('value')} OR {_m(shapes.MEDIA)} OR {_m(shapes.URL)} OR {_m(shapes.SLUG)} OR NOT {_m(shapes.WORDY)} THEN 'do-not-translate'
         WHEN {shapes.is_date_pattern_sql('value')} THEN 'needs-judgment'
         WHEN {_m(shapes.LOCALE)} THEN CASE WHEN value LIKE 'fr-%' THEN 'locale-marker' ELSE 'do-not-translate' END
@@ -48,10 +52,13 @@ CLASSIFIED_SQL = f"""
         WHEN NOT {_m(shapes.WORDY)} THEN 'numeric-or-symbolic' WHEN {shapes.is_date_pattern_sql('value')} THEN 'symbol-set' WHEN {_m(shapes.LOCALE)} THEN CASE WHEN value LIKE 'fr-%' THEN NULL ELSE 'code-token' END
         WHEN detected = 'en' AND confidence >= 0.7 THEN 'already-target-language'
         WHEN detected IS NULL AND lower(trim(value, ' ')) NOT IN ({_COGNATE}) THEN CASE bucket WHEN 'short' THEN 'short-string' ELSE 'ambiguous-role' END ELSE 'no-rule' END AS reason
-    FROM ({_TURN_SQL}))
+    FROM ({rows}))
 """
 
 
+CLASSIFIED_SQL = classified_sql(_TURN_SQL, "conv_id, turn, role")
+
+
 def classified_turns(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("value"))
     return C.classify(turns, *_PAIR).select("conv_id", "turn", "role", "value", "detected", "confidence", "verdict", "reason")

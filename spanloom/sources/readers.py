@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .script import script_spans
+
 Span = tuple[str, str, int, int, str]
 
 #: Format by the end of a lower-case file name, in order.
@@ -326,7 +328,12 @@ def _lexer(pattern: str, value: Callable[[str], str] = _unquoted) -> Callable[[s
 
 
 _QUOTED = r'"(?P<string1>(?:[^"\\\n]|\\.)*)"|' + r"'(?P<string2>(?:[^'\\\n]|\\.)*)'"
-read_script = _lexer(r"(?P<comment1>//[^\n]*)|(?P<comment2>/\*.*?\*/)|`(?P<template>(?:[^`\\]|\\.)*)`|" + _QUOTED)
+
+def read_script(text: str, file: str = "") -> Iterator[Span]:
+    """Literals, JSX text and comments; see ``script``, which also tells what holds them."""
+    return ((path, kind, a, b, value) for path, kind, a, b, value, _ in script_spans(text, file))
+
+
 read_python = _lexer(r'(?P<comment>\#[^\n]*)|[rRbBuUfF]{0,2}"""(?P<docstring1>(?:[^\\]|\\.)*?)"""|' + r"[rRbBuUfF]{0,2}'''(?P<docstring2>(?:[^\\]|\\.)*?)'''|" + _QUOTED)
 read_shell = _lexer(r"(?:^|(?<=\s))(?P<comment>\#(?!!)[^\n]*)|" + r'"(?P<string1>(?:[^"\\]|\\.)*)"|' + r"'(?P<string2>[^']*)'")
 read_css = _lexer(r"(?P<comment1>/\*.*?\*/)|" + _QUOTED)
@@ -359,21 +366,26 @@ READERS: dict[str, Callable[[str], Iterator[Span]]] = {
 SPANS = "file string, format string, path string, kind string, start long, end long, line long, column long, raw string, value string"
 
 
+class Places:
+    """Byte, line and column of the characters of a text."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.bytes = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+        self.ends = np.flatnonzero(codes == 10)
+
+    def of(self, a: int, b: int) -> tuple[int, int, int, int]:
+        """Start and end in bytes, half open, and line and column from 1."""
+        line = int(np.searchsorted(self.ends, a))
+        return int(self.bytes[a]), int(self.bytes[b]), line + 1, a - (int(self.ends[line - 1]) + 1 if line else 0) + 1
+
+
 def located(text: str, kind: str) -> list[tuple]:
-    """(path, kind, start, end, line, column, raw, value) of a file's spans: bytes, half open; line and column from 1."""
+    """(path, kind, start, end, line, column, raw, value) of a file's spans."""
     if "\x00" in text:
         return []
-    skip = text.startswith("﻿")
-    found = [(p, k, a + skip, b + skip, v) for p, k, a, b, v in READERS[kind](text[skip:])]
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-    at = np.concatenate([[0], np.cumsum(width)])
-    ends = np.flatnonzero(codes == 10)
-    out = []
-    for path, k, a, b, value in found:
-        line = int(np.searchsorted(ends, a))
-        out.append((path, k, int(at[a]), int(at[b]), line + 1, a - (int(ends[line - 1]) + 1 if line else 0) + 1, text[a:b], value))
-    return out
+    skip, at = text.startswith("\ufeff"), Places(text)
+    return [(path, k, *at.of(a + skip, b + skip), text[a + skip : b + skip], value) for path, k, a, b, value in READERS[kind](text[skip:])]
 
 
 def spans(files: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ FILES = {
         "# c\nhello = Hi { $n }\n    more é\n    .title = T\n-term = Q\nsel = { $n ->\n    [one] One\n   *[other] Many\n }\n",
         {"/hello": "Hi { $n }\nmore é", "/hello/title": "T", "/-term": "Q", "/sel": "{ $n ->\n[one] One\n*[other] Many\n}"},
     ),
-    "script": ("// c\nconst a = 'it\\'s', b = `t ${x}`; /* d */ f(\"é\")", {"string[0]": "it's", "string[1]": "é", "template[0]": "t ${x}"}),
+    "script": ("// c\nconst a = 'it\\'s', b = `t ${x}`; /* d */ f(\"é\")", {"a": "it's", "b": "t {0}", "f()/[0]": "é"}),
     "python": ('def f():\n    """Doc é."""\n    x = "s" # c\n', {"docstring[0]": "Doc é.", "string[0]": "s"}),
     "shell": ("#!/bin/sh\n# c\necho \"hi é\" 'x' a#b\n", {"string[0]": "hi é", "string[1]": "x"}),
     "css": ('/* c */ a::before { content: "é"; }', {"string[0]": "é"}),
