@@ -23,7 +23,7 @@ _SPLIT_SQL = f"""
       CASE WHEN regexp_matches(path, '{_C}') THEN regexp_extract(path, '{_C}', 2) WHEN regexp_matches(path, '{_S}') THEN CASE regexp_extract(path, '{_S}', 2) WHEN 'singular' THEN 'one' WHEN 'plural' THEN 'other' ELSE regexp_extract(path, '{_S}', 2) END END AS category
     FROM ({_BUNDLE_SQL})
 """
-_CLDR_SQL = "(VALUES " + ", ".join(f"('{k}', [{', '.join(repr(c) for c in v)}])" for k, v in cldr.BY_LANGUAGE.items()) + ") r(lang, required)"
+CLDR_SQL = "(VALUES " + ", ".join(f"('{k}', [{', '.join(repr(c) for c in v)}])" for k, v in cldr.BY_LANGUAGE.items()) + ") r(lang, required)"
 
 
 def _bundle(spark, sf_dir):
@@ -48,7 +48,7 @@ _ORDER = "[" + ", ".join(repr(c) for c in PLURAL_ORDER) + "]"
     WITH f AS (SELECT file, locale, base, list(DISTINCT category) AS have, count(*) AS n FROM ({_SPLIT_SQL}) WHERE base IS NOT NULL GROUP BY ALL),
     o AS (SELECT file, locale, base, list_filter({_ORDER}, lambda c: list_contains(have, c)) AS categories, n FROM f)
     SELECT o.*, list_filter(required, lambda c: NOT list_contains(categories, c)) AS missing, list_filter(categories, lambda c: NOT list_contains(required, c)) AS extra
-    FROM o LEFT JOIN {_CLDR_SQL} ON r.lang = lower(regexp_extract(locale, '^([A-Za-z]+)', 1))""")
+    FROM o LEFT JOIN {CLDR_SQL} ON r.lang = lower(regexp_extract(locale, '^([A-Za-z]+)', 1))""")
 def plural_missing_extra(spark, sf_dir):
     return plural.completeness(plural.families(_bundle(spark, sf_dir)), cldr.table(spark))
 
@@ -106,6 +106,6 @@ def plural_suspects(spark, sf_dir):
     return plural.suspicions(sites)
 
 
-@query(f"SELECT lang, array_to_string(required, ' ') AS categories, len(required)::BIGINT AS n FROM {_CLDR_SQL}")
+@query(f"SELECT lang, array_to_string(required, ' ') AS categories, len(required)::BIGINT AS n FROM {CLDR_SQL}")
 def plural_categories(spark, sf_dir):
     return cldr.table(spark).select("lang", F.array_join("required", " ").alias("categories"), F.size("required").cast("long").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import readers
+from .script import identifiers as script_identifiers
 from .script import script_spans
 
 TEXT_FACTS = ("tier", "extractor", "attr", "element", "tag", "callee", "symbol", "branch_group")
@@ -67,3 +69,23 @@ def with_dual_use(found: DataFrame) -> DataFrame:
     origins = found.filter(origin).select(F.col("value").alias("_v")).distinct().withColumn("_dual", F.lit(True))
     met = found.join(origins, F.col("value") == F.col("_v"), "left")
     return met.withColumn("dual_use", F.coalesce("_dual", F.lit(False)) & ~origin).drop("_v", "_dual")
+
+
+def identifiers(files: DataFrame) -> DataFrame:
+    """(word) the names that files declare: of scripts, keys, style classes, and segments of paths; once each."""
+    classes = re.compile(r"[.#](-?[A-Za-z_][\w-]*)|\b(?:class|id)=[\"']([^\"']*)[\"']").finditer
+    kind = F.coalesce("format", readers.route(F.col("file"))) if "format" in files.columns else readers.route(F.col("file"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, how, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = {x for x in re.split(r"[/.]", file or "") if x}
+                if how == "script":
+                    names |= {*script_identifiers(text)}
+                elif how in ("css", "markup"):
+                    names |= {x for m in classes(text) for x in (m[1] or m[2]).split()}
+                else:
+                    names |= {v for _, k, _, _, v in readers.READERS[how](text) if k == "key"}
+                yield pa.RecordBatch.from_arrays([pa.array([*names], pa.string())], ["word"])
+
+    return files.select(F.col("file").cast("string"), kind.alias("format"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "word string").distinct()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fluent import read_fluent
 from .script import script_spans
 
 Span = tuple[str, str, int, int, str]
@@ -295,21 +296,6 @@ def read_toml(text: str) -> Iterator[Span]:
             index += 1
 
 
-def read_fluent(text: str) -> Iterator[Span]:
-    """Values of messages, terms and their attributes, with the lines that continue them; comments."""
-    message = ""
-    for m in re.finditer(r"(?m)^(#[^\n]*)|^(-?[A-Za-z][\w-]*)[ ]*=[ ]*((?:[^\n]*)(?:\n(?:[ ]+(?![ .])[^\n]*|[ ]*(?=\n)))*)|^[ ]+\.([A-Za-z][\w-]*)[ ]*=[ ]*((?:[^\n]*)(?:\n[ ]+(?![ .])[^\n]*)*)", text):
-        if m[1]:
-            yield "/comment", "comment", m.start(1), m.end(1), m[1]
-            continue
-        message = m[2] or message
-        g = 3 if m[2] else 5
-        value = m[g].rstrip()
-        if value:
-            a = m.start(g) + len(value) - len(value.lstrip())
-            yield segment(message) + (segment(m[4]) if m[4] else ""), "message", a, m.start(g) + len(value), re.sub(r"\n[ ]+", "\n", value.lstrip())
-
-
 def _lexer(pattern: str, value: Callable[[str], str] = _unquoted) -> Callable[[str], Iterator[Span]]:
     """A reader of comments, strings and templates told by the groups of one pattern, which steps over all else."""
     token = re.compile(pattern, re.DOTALL | re.MULTILINE)
