@@ -111,3 +111,25 @@ def glossary_slices(items: DataFrame, terms: DataFrame) -> DataFrame:
     found = words.join(terms.select(F.lower("term").alias("word"), "term"), "word").select("batch_id", "term").distinct()
     rank = F.row_number().over(Window.partitionBy("batch_id").orderBy("term"))
     return found.withColumn("k", rank).filter(F.col("k") <= GLOSSARY_TERMS).drop("k")
+
+
+def rulings(members: DataFrame, sites: DataFrame, ruled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What rulings decide about groups of sites: (group, status, n, stale) and the members that stay (group, site_key).
+
+    ``members``: group, site_key; ``sites``: site_key, content_hash; ``ruled``: site_key, content_hash, verdict (``exclude``
+    or another). A group is decided only if every member has a ruling about the bytes that it has now (a division by the
+    rulings that hold): ``all-excluded`` if each is excluded, else ``resolved``, and those excluded leave it. Otherwise it
+    is ``open`` and all stay. ``stale``: rulings on other bytes. Of several rulings on a site one that excludes counts.
+    Repeated members count once; a member that is no site keeps its group open.
+    """
+    own = members.select("group", "site_key").distinct()
+    latest = ruled.groupBy("site_key", F.col("content_hash").alias("ruled_hash")).agg(F.max(F.col("verdict") == "exclude").alias("excluded"))
+    by_site = latest.groupBy("site_key").agg(F.collect_list(F.struct("ruled_hash", "excluded")).alias("given"))
+    held = F.filter("given", lambda g: g["ruled_hash"] == F.col("content_hash"))
+    met = own.join(sites.select("site_key", "content_hash").distinct(), "site_key", "left").join(by_site, "site_key", "left")
+    met = met.select("group", "site_key", F.get(held, F.lit(0))["excluded"].alias("excluded"), (F.coalesce(F.size("given"), F.lit(0)) > 0).alias("given"))
+    met = met.withColumn("stale", F.col("given") & F.col("excluded").isNull())
+    decided, out = F.count("excluded") == F.count("*"), F.sum(F.coalesce(F.col("excluded"), F.lit(False)).cast("int")) == F.count("*")
+    groups = met.groupBy("group").agg(F.when(~decided, "open").when(out, "all-excluded").otherwise("resolved").alias("status"), F.count("*").alias("n"), F.sum(F.col("stale").cast("int")).cast("long").alias("stale"))
+    stay = met.join(groups.select("group", "status"), "group").filter("status = 'open' or not excluded").select("group", "site_key")
+    return groups, stay

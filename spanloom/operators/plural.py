@@ -90,3 +90,36 @@ def next_site(pragmas: DataFrame, sites: DataFrame) -> DataFrame:
     rows = pragmas.select("file", "start", "note", F.lit(None).cast("string").alias("site_key")).unionByName(sites.select("file", "start", F.lit(None).cast("string").alias("note"), "site_key"))
     ahead = Window.partitionBy("file").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
     return rows.withColumn("site", F.first("site_key", ignorenulls=True).over(ahead)).filter("note is not null").select("file", "start", "note", "site")
+
+
+def verify_claims(claims: DataFrame, handed_out: DataFrame, forms: DataFrame) -> DataFrame:
+    """(family, claims, ok, why) of every family that was handed out or is claimed.
+
+    ``claims``: family; ``handed_out``: family, file, targets (array of categories); ``forms``: family, file, category of
+    the families that are there now. A claim holds if its family has all its targets or, where the family is gone, if some
+    family of the same file has them: a join that asks for containment of sets, by counting the targets that are met, so
+    families of a file are never paired without a category in common. Repeated forms count once; no targets are met by
+    any family of the file.
+    """
+    claimed = claims.groupBy("family").agg(F.count("*").alias("claims"))
+    asked = handed_out.dropDuplicates(["family"]).select("family", "file", F.array_distinct(F.coalesce("targets", F.array().cast("array<string>"))).alias("targets"))
+    have = forms.select(F.col("family").alias("other"), "file", "category").distinct()
+    wanted = asked.select("family", "file", F.size("targets").alias("n"), F.explode("targets").alias("category"))
+    met = wanted.join(have, ["file", "category"]).groupBy("family", "n", "other").agg(F.count("*").alias("met"))
+    full = met.filter("met = n").groupBy("family").agg(F.max(F.col("other") == F.col("family")).alias("own"))
+    there = forms.select("family").distinct().withColumn("there", F.lit(True))
+    files = forms.select("file").distinct().withColumn("any", F.lit(True))
+    rows = asked.join(full, "family", "left").join(there, "family", "left").join(files, "file", "left")
+    none = (F.size("targets") == 0) & F.coalesce("any", F.lit(False))
+    found = F.when(F.col("there"), F.coalesce("own", F.lit(False)) | (F.size("targets") == 0)).otherwise(F.col("own").isNotNull() | none)
+    rows = rows.select("family", F.lit(True).alias("asked"), F.coalesce("there", F.lit(False)).alias("there"), found.alias("found"))
+    both = rows.join(claimed, "family", "full").withColumns({"claims": F.coalesce("claims", F.lit(0)), "asked": F.coalesce("asked", F.lit(False))})
+    why = (
+        F.when(~F.col("asked"), "not handed out")
+        .when(F.col("claims") == 0, "unclaimed")
+        .when(F.col("claims") > 1, "claimed twice")
+        .when(F.col("found"), F.lit(None))
+        .when(F.col("there"), "forms are missing")
+        .otherwise("not seen again")
+    )
+    return both.withColumn("why", why).select("family", "claims", F.col("why").isNull().alias("ok"), "why")

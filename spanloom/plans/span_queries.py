@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import spans
+from ..operators import passages, spans
 from ..sources import tables
 from ..sources.tables import table
 from .registry import query
 from .site_queries import LINES_SQL, doc_lines
 
-_SENTENCE = r"^[^.\n]+\."
-
-# sentences of the benchmark are matched by line, an equality that can be shuffled, not by containment of every pair
-_HITS_SQL = f"""
-    SELECT DISTINCT l.file, l.start, l."end", b.item_id FROM ({LINES_SQL}) l JOIN
-      (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) b ON l.value = b.line
+# a passage is found where it stands word for word, wherever its lines begin
+_HITS_SQL = """
+    SELECT 'doc/' || doc_id AS file, strlen(substring(d.text, 1, position(b.text IN d.text) - 1))::BIGINT AS start, (strlen(substring(d.text, 1, position(b.text IN d.text) - 1)) + strlen(b.text))::BIGINT AS "end", b.item_id,
+      ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::BIGINT AS n FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)
 """
 _SPANS_SQL = """
     SELECT 'doc/' || doc_id AS file, s AS start, s + n AS "end" FROM (SELECT doc_id,
@@ -64,20 +62,26 @@ def claim_ratio(spark, sf_dir):
 
 
 def _benchmark_hits(spark, sf_dir):
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("value"))
-    return doc_lines(spark, sf_dir).join(wanted, "value").select("file", "start", "end", "item_id").distinct()
+    docs = table(spark, sf_dir, "documents").select(tables.document_file().alias("file"), "text")
+    return passages.find_passages(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query(_HITS_SQL)
+def passage_places(spark, sf_dir):
+    """Benchmark passages in documents, with the bytes of the first place and the number of places."""
+    return _benchmark_hits(spark, sf_dir)
 
 
-@query(f"SELECT b.item_id, count(DISTINCT h.file) AS files, count(h.file) > 0 AS accounted FROM benchmark b LEFT JOIN ({_HITS_SQL}) h USING (item_id) GROUP BY b.item_id")
+@query(f"SELECT b.item_id, count(DISTINCT h.file) AS files, coalesce(sum(h.n), 0)::BIGINT AS places, count(h.file) > 0 AS accounted FROM benchmark b LEFT JOIN ({_HITS_SQL}) h USING (item_id) GROUP BY b.item_id")
 def accounting_coverage(spark, sf_dir):
-    hits = _benchmark_hits(spark, sf_dir).select("item_id", "file")
+    hits = _benchmark_hits(spark, sf_dir).select("item_id", "file", "n")
     items = table(spark, sf_dir, "benchmark").select("item_id")
-    return items.join(hits, "item_id", "left").groupBy("item_id").agg(F.countDistinct("file").alias("files"), (F.count("file") > 0).alias("accounted"))
+    return items.join(hits, "item_id", "left").groupBy("item_id").agg(F.countDistinct("file").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"), (F.count("file") > 0).alias("accounted"))
 
 
 @query(f"SELECT h.* FROM ({_HITS_SQL}) h WHERE EXISTS (SELECT 1 FROM ({_SPANS_SQL}) s WHERE s.file = h.file AND s.start < h.\"end\" AND s.\"end\" > h.start)")
 def trap_violations(spark, sf_dir):
-    """Benchmark lines that a claimed span touches."""
+    """Benchmark passages that a claimed span touches."""
     return spans.overlaps(_benchmark_hits(spark, sf_dir), _spans(spark, sf_dir))
 
 
