@@ -11,6 +11,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("ge
 BASE_SCORE = 0.4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = 4
+#: Matches of a text that are folded together.
+BLOCK = 128
 RULES = rules()
 WORDS = sorted({w for r in RULES for alt in r[2].split("/") for w in alt.split()})
 
@@ -43,12 +46,38 @@ def _hit(text: Column) -> Column:
     return F.get(F.transform(F.array(held), lambda h: F.filter(_rule_array(), lambda r: met(h, r))), F.lit(0))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(items: Column, first: Column, total: Callable[[Column], Column], merge: Callable[[Column, Column], Column], fold: Callable[[Column, Column], Column]) -> Column:
+    """What ``fold`` makes of each block of items, given the state before it, one after the other.
+
+    An array that grows item by item is copied each time. So items are folded in blocks: the state before a block comes
+    from the totals of those before it, and only a block's own array grows.
+    """
+
+    def cut(xs: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(xs) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def each(blocks: Column) -> Column:
+        # states before the blocks, and the one behind the last; there are few
+        states = F.aggregate(F.transform(blocks, total), F.array(first), lambda acc, t: F.concat(acc, F.array(merge(F.element_at(acc, -1), t))))
+        return F.flatten(F.zip_with(blocks, F.slice(states, F.lit(1), F.size(blocks)), fold))
+
+    return _once(items, lambda xs: _once(cut(xs), each))
+
+
+SPANS = "array<struct<start:int,back:int,order:int,rule:int,label:string,stop:int,confidence:double>>"
+
+
 def _matches(text: Column, rule: Column) -> Column:
     """Where the rule's pattern matches: array of start, stop, minus_stop and what the rule says."""
     found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
     gaps = F.transform(F.split(text, rule["pattern"], F.lit(-1)), lambda x: F.length(x))
-    kind = "array<struct<start:int,back:int,order:int,rule:int,label:string,stop:int,confidence:double>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+    sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -56,21 +85,29 @@ def _matches(text: Column, rule: Column) -> Column:
         span = F.struct(start.alias("start"), (-stop).alias("back"), (-rule["priority"]).alias("order"), rule["rule"].alias("rule"), rule["label"].alias("label"), stop.alias("stop"), rule["confidence"].alias("confidence"))
         return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
-    return F.aggregate(sized, first, add, lambda a: a["spans"])
+    def block(items: Column, at: Column) -> Column:
+        return F.aggregate(items, F.struct(at.alias("at"), F.array().cast(SPANS).alias("spans")), add, lambda a: a["spans"])
+
+    length = lambda items: F.aggregate(items, F.lit(0), lambda a, x: a + x["gap"] + x["size"])
+    return _folded(sized, F.lit(0), length, lambda at, n: at + n, block)
 
 
 def _kept(spans: Column) -> Column:
     """Drops contained detections in one pass over those sorted by start, then longest, then highest priority."""
-    kind = "array<struct<start:int,back:int,order:int,rule:int,label:string,stop:int,confidence:double>>"
-    first = F.struct(F.array(*(F.lit(-1) for _ in range(LEVELS))).alias("reach"), F.array().cast(kind).alias("kept"))
+    nothing = F.array(*(F.lit(-1) for _ in range(LEVELS)))
+
+    def reached(reach: Column, x: Column) -> Column:
+        return F.transform(reach, lambda r, i: F.when(i == -x["order"], F.greatest(r, x["stop"])).otherwise(r))
 
     def add(acc: Column, x: Column) -> Column:
         inside = F.array_max(F.slice(acc["reach"], 1 - x["order"], F.lit(LEVELS))) >= x["stop"]
-        reach = F.transform(acc["reach"], lambda r, i: F.when(i == -x["order"], F.greatest(r, x["stop"])).otherwise(r))
-        return F.struct(reach.alias("reach"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
+        return F.struct(reached(acc["reach"], x).alias("reach"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
+
+    def block(items: Column, reach: Column) -> Column:
+        return F.aggregate(items, F.struct(reach.alias("reach"), F.array().cast(SPANS).alias("kept")), add, lambda a: a["kept"])
 
-    return F.aggregate(F.array_sort(spans), first, add, lambda a: a["kept"])
+    furthest = lambda items: F.aggregate(items, nothing, reached)
+    return _folded(F.array_sort(spans), nothing, furthest, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), block)
 
 
 def _has_base(words: Column, i: Column) -> Column:

@@ -118,23 +118,38 @@ class Model:
         return [(i, float(p), s) for i, p, s in scored if p >= least]
 
 
+class Bags:
+    """Labelled documents as bags of sentences, laid out for the loss."""
+
+    def __init__(self, bags: list[list[list[int]]], plain: list[int], labels: list[int]):
+        sent = [s for ss in bags for s in ss]
+        self.doc = np.array([d for d, ss in enumerate(bags) for _ in ss], np.int64)
+        self.word = np.array([w for s in sent for w in s], np.int64)
+        self.of = np.repeat(np.arange(len(sent)), [len(s) for s in sent]) if sent else np.empty(0, np.int64)
+        self.sent, self.y, self.plain = len(sent), np.array(labels, float), np.array(plain, float)
+
+    def loss(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean negative log likelihood of the labels, and its gradient. theta: weights, base rate, leak."""
+        size, n = len(theta) - 2, max(1, len(self.y))
+        base, leak = theta[size:]
+        z = base + np.bincount(self.of, theta[self.word], self.sent)
+        p, p0, pl = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-base)), 1 / (1 + np.exp(-leak))
+        log_clean = -np.bincount(self.doc, np.logaddexp(0, z), len(self.y)) - self.plain * np.logaddexp(0, base) - np.logaddexp(0, leak)
+        clean = np.exp(log_clean)
+        toxic = np.maximum(1 - clean, 1e-9)
+        share = np.where(self.y > 0, -clean / toxic, 1.0)  # d loss / d log(1 - P), negated
+        g = p * share[self.doc]
+        grad = np.append(np.bincount(self.word, g[self.of], size), [g.sum() + (share * self.plain).sum() * p0, share.sum() * pl]) / n
+        return float(-np.where(self.y > 0, np.log(toxic), log_clean).sum() / n), grad
+
+
 def fit_bags(bags: list[list[list[int]]], plain: list[int], labels: list[int], size: int, rounds: int = 600, rate: float = 0.1, penalty: float = 6e-5) -> tuple[float, np.ndarray]:
     """(bias, weights) by gradient steps. A bag: its sentences that hold known features (as indices); plain: how many hold none."""
-    doc = np.array([d for d, ss in enumerate(bags) for _ in ss], np.int64)
-    sent = [s for ss in bags for s in ss]
-    word = np.array([w for s in sent for w in s], np.int64)
-    of = np.repeat(np.arange(len(sent)), [len(s) for s in sent]) if sent else np.empty(0, np.int64)
-    y, n0 = np.array(labels, float), np.array(plain, float)
+    data = Bags(bags, plain, labels)
     theta, m, v = np.zeros(size + 2), 0.0, 0.0
     theta[size:] = -8.0, -3.0  # base rate of a sentence, leak of a document
     for t in range(1, rounds + 1):
-        base, leak = theta[size:]
-        z = base + np.bincount(of, theta[word], len(sent))
-        p, p0, pl = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-base)), 1 / (1 + np.exp(-leak))
-        clean = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)) - n0 * np.logaddexp(0, base) - np.logaddexp(0, leak))
-        share = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)  # d loss / d log(1 - P), negated
-        g = p * share[doc]
-        grad = np.append(np.bincount(word, g[of], size), [g.sum() + (share * n0).sum() * p0, share.sum() * pl]) / max(1, len(y))
+        grad = data.loss(theta)[1]
         grad[:size] += penalty * (np.sign(theta[:size]) + 0.1 * theta[:size])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -147,12 +162,15 @@ def training_rows(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
-    """Fits on at most ``rows`` labelled documents, chosen by a hash of their ids, and at most ``vocabulary`` features."""
+    """Fits on at most ``rows`` labelled texts, chosen by hashes of their ids and, where ids repeat, of the texts, and at most
+    ``vocabulary`` features."""
     chosen = labels.filter(training_rows(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` ids at most
-    sample = sample.groupBy(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))
-    sample = written(sample, "toxic-sample")
+    sample = written(sample.groupBy(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")), "toxic-texts")
+    digests = sample.select(F.sha2("text", 256).alias("digest"))
+    if digests.count() > rows:  # one id may stand for any number of texts
+        sample = sample.join(F.broadcast(digests.orderBy("digest").limit(rows)), F.sha2("text", 256) == F.col("digest"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,13 +6,14 @@ import hashlib
 import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
 import pytest
 from test_ops import clash, root_of, slow_fingerprint
 
-from spanloom.llm import byte_bpe, exact_dedup, periodic, prefix_trie, simhash
+from spanloom.llm import byte_bpe, exact_dedup, licenses, periodic, prefix_trie, simhash, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -217,3 +218,60 @@ def test_near_copies_under_shared_and_null_ids(spark):
     want = sorted((str(d), f"{fps[i]:016x}", least[roots[i]]) for i, (d, _) in enumerate(rows))
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()) == want
 
+
+
+# toxicity: the model against its definition; bounds
+
+
+def test_scores_are_the_noisy_or_of_all_sentences():
+    rng = random.Random(9)
+    model = toxicity.Model(-2.0, {"bad": 3.0, "awf*": 1.5, "good": -1.0, "é": 0.7})
+    words = ["bad", "Bad", "awful", "awf", "good", "é", "plain", "badly", "x2"]
+    for _ in range(300):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", ". ", "! ", "\n", "… "]) for _ in range(rng.randint(0, 30)))
+        clean = 1.0
+        for s in toxicity.sentences(text):
+            held = {f for w in {*toxicity.WORD.findall(s.lower())} for f in toxicity.features(w)}
+            clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0) for f in held))))
+        assert abs(model.score(text) - (1 - clean)) < 1e-12, text
+
+
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    bags = [[sorted({*map(int, rng.integers(0, 6, rng.integers(1, 4)))}) for _ in range(rng.integers(0, 4))] for _ in range(40)]
+    data = toxicity.Bags(bags, [int(x) for x in rng.integers(0, 5, 40)], [int(x) for x in rng.integers(0, 2, 40)])
+    theta = rng.normal(0, 1, 8)
+    loss, grad = data.loss(theta)
+    plain = 0.0
+    for ss, n0, y in zip(bags, data.plain, data.y, strict=True):
+        clean = np.prod([1 - 1 / (1 + np.exp(-(theta[6] + sum(theta[w] for w in s)))) for s in ss] + [1 - 1 / (1 + np.exp(-theta[7]))]) * (1 - 1 / (1 + np.exp(-theta[6]))) ** n0
+        plain -= np.log(1 - clean if y else clean) / 40
+    assert abs(loss - plain) < 1e-9
+    for k in range(8):
+        step = np.zeros(8)
+        step[k] = 1e-6
+        assert abs((data.loss(theta + step)[0] - data.loss(theta - step)[0]) / 2e-6 - grad[k]) < 1e-6
+
+
+def test_fitting_is_bounded_where_ids_repeat(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(toxicity, "fit_bags", lambda bags, *rest: held.append(len(bags)) or (-3.0, np.zeros(rest[2])))
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(ids[k % 2], f"word{k % 2} text number {k}") for k in range(2000)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(ids[0], 0, 1), (ids[1], 1, 0)], "doc_id long, quality int, toxic int"), rows=100)
+    assert held == [100]
+
+
+# licences: time in proportion to the detections
+
+
+def test_licences_in_very_long_texts(spark):
+    line = "copyright 2020 acme. all rights reserved. licensed under the mit license\n"
+    began = time.perf_counter()
+    df = spark.createDataFrame([(1, line * 10_000), (2, line * 300), (3, line)], "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.detections for r in licenses.scan(df).collect()}
+    assert time.perf_counter() - began < 60
+    one = [(d.start, d.stop, d.label) for d in out[3]]
+    assert {label for _, _, label in one} == {"copyright-notice", "all-rights-reserved", "mit"}
+    for n, found in ((300, out[2]), (10_000, out[1])):
+        assert [(d.start, d.stop, d.label) for d in found] == [(a + k * len(line), b + k * len(line), label) for k in range(n) for a, b, label in one]
