@@ -109,3 +109,19 @@ def plural_suspects(spark, sf_dir):
 @query(f"SELECT lang, array_to_string(required, ' ') AS categories, len(required)::BIGINT AS n FROM {CLDR_SQL}")
 def plural_categories(spark, sf_dir):
     return cldr.table(spark).select("lang", F.array_join("required", " ").alias("categories"), F.size("required").cast("long").alias("n"))
+
+
+_ENDINGS = ("", "s", "es", "!", "-en")
+
+
+@query(f"""
+    WITH s AS (SELECT DISTINCT p_type AS file, p_brand AS parent, p_type || '/' || p_brand || '/' || p_name || x AS site_key, CASE WHEN p_size % 2 = 0 THEN '{{n}} ' ELSE '' END || p_name || x AS value FROM part, (VALUES {', '.join(f"('{x}')" for x in _ENDINGS)}) e(x))
+    SELECT a.site_key AS shorter, b.site_key AS longer FROM s a JOIN s b ON a.file = b.file AND a.parent = b.parent AND starts_with(b.value, a.value) AND length(b.value) - length(a.value) BETWEEN 1 AND 3
+    WHERE regexp_matches(substr(b.value, length(a.value) + 1), '^\\p{{L}}+$') AND (contains(a.value, '{{n}}') OR contains(b.value, '{{n}}'))""")
+def plural_suffix_siblings(spark, sf_dir):
+    """Names of parts with endings, of one type and brand, of which one is the other with a few letters more, and one counts."""
+    ends = F.explode(F.array(*map(F.lit, _ENDINGS))).alias("x")
+    part = table(spark, sf_dir, "part").select("p_type", "p_brand", "p_name", "p_size", ends)
+    value = F.concat(F.when(F.col("p_size") % 2 == 0, "{n} ").otherwise(""), "p_name", "x")
+    sites = part.select(F.col("p_type").alias("file"), F.col("p_brand").alias("parent"), F.concat_ws("/", "p_type", "p_brand", F.concat("p_name", "x")).alias("site_key"), value.alias("value"))
+    return plural.suffix_pairs(sites.distinct())

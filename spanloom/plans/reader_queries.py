@@ -53,9 +53,15 @@ for _kind in FILES:
     _reads(_kind)
 
 
-@query("SELECT 'e/' || event_id || '.jsonl' AS file, '/0/' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_type(props, '$.' || k) = 'VARCHAR'")
+@query("""
+    SELECT 'e/' || event_id || '.jsonl' AS file, '/0/type' AS path, event_type AS value FROM events
+    UNION ALL SELECT 'e/' || event_id || '.jsonl', '/1/0', 'é "' || props FROM events
+    UNION ALL SELECT 'e/' || event_id || '.jsonl', '/1/1/p', event_type || chr(10) FROM events""")
 def read_jsonl(spark, sf_dir):
-    files = table(spark, sf_dir, "events").select(F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("props").alias("text"))
+    """An object a line, then a list; paths begin with the line."""
+    second = F.concat(F.lit("["), quoted(F.concat(F.lit('é "'), "props")), F.lit(', {"p": '), quoted(F.concat("event_type", F.lit("\n"))), F.lit("}]\n"))
+    text = F.concat(F.to_json(F.struct(F.col("event_type").alias("type"), "value")), F.lit("\n"), second)
+    files = table(spark, sf_dir, "events").select(F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".jsonl")).alias("file"), text.alias("text"))
     return readers.spans(files).filter("kind = 'string'").select("file", "path", "value")
 
 

@@ -80,6 +80,14 @@ def dup_divergence(spark, sf_dir):
     return groups.filter("n > 1 and languages > 1")
 
 
+@query(f"""
+    SELECT sha1({collapsed_sql('text')}) AS dup_hash, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT source) > 1""")
+def dup_source_divergence(spark, sf_dir):
+    """Equal documents, but for white space and case, that stand under different sources."""
+    groups = table(spark, sf_dir, "documents").groupBy(identity.dup_hash(F.col("text")).alias("dup_hash")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+    return groups.filter("n > 1 and sources > 1")
+
+
 def _markup(name: str, pattern: str, path: str) -> None:
     oracle = f"""
         SELECT 'page/' || page_id AS file, '{path}[' || (i - 1) || ']' AS path, value FROM

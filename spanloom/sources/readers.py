@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .fluent import read_fluent
 from .script import script_spans
+from .yaml import read_yaml
 
 Span = tuple[str, str, int, int, str]
 
@@ -57,7 +58,7 @@ def segment(key: object) -> str:
     return "/" + str(key).replace("~", "~0").replace("/", "~1")
 
 
-_JSON = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*.*?\*/|[{}\[\],:]|[^\s{}\[\],:"/]+|\S', re.DOTALL)
+_JSON = re.compile(r"'(?:[^'\\\n]|\\.)*'|" r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*.*?\*/|[{}\[\],:]|[^\s{}\[\],:"/]+|\S', re.DOTALL)
 
 
 def _unquoted(raw: str) -> str:
@@ -88,8 +89,11 @@ def read_json(text: str, base: str = "", at: int = 0) -> Iterator[Span]:
                 stack[-1][2] = False
         elif token.startswith(("//", "/*")):
             yield base + "/comment", "comment", at + m.start(), at + m.end(), token
-        elif token[0] == '"' and len(token) > 1:
-            value = _unquoted(token[1:-1])
+        elif bool(stack) and stack[-1][0] and stack[-1][2] and re.fullmatch(r"[^\W\d][\w$]*|\$[\w$]*", token):  # a bare key
+            stack[-1][1] = token
+            yield base + "".join(segment(s[1]) for s in stack), "key", at + m.start(), at + m.end(), token
+        elif token[0] in "\"'" and len(token) > 1:
+            value = _unquoted(token[1:-1] if token[0] == '"' else re.sub(r"\\(.)|\"", lambda x: x[0] if x[1] and x[1] != "'" else "'" if x[1] else '\\"', token[1:-1], flags=re.DOTALL))
             key = bool(stack) and stack[-1][0] and stack[-1][2]
             if key:
                 stack[-1][1] = value
@@ -104,67 +108,16 @@ def read_jsonl(text: str) -> Iterator[Span]:
         at += len(line) + 1
 
 
-_YAML = re.compile(r"(?P<indent> *)(?P<dash>(?:- +)*)(?P<body>[^\n]*)(?:\n|$)")
-_YAML_KEY = re.compile(r"""(?P<key>"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#:'"\[{][^:#\n]*?) *:(?: +|$)""")
-
-
-def read_yaml(text: str) -> Iterator[Span]:
-    """Block mappings and sequences with plain, quoted and block scalars, and comments; flow values are one scalar."""
-    stack: list[list] = []  # [indent, segment]
-    counts: Counter[str] = Counter()
-    block: list | None = None  # [indent of its key, path, start, end]
-    for m in _YAML.finditer(text):
-        if not m[0]:
-            break
-        body, indent, at = m["body"], len(m["indent"]), m.start("body")
-        if block is not None:
-            if not body.strip() or indent > block[0]:
-                block[2], block[3] = (block[2] if block[2] is not None else m.start()), m.end("body")
-                continue
-            if block[2] is not None:
-                yield block[1], "block-scalar", block[2], block[3], text[block[2] : block[3]]
-            block = None
-        if not body.strip():
-            continue
-        if body.startswith("#"):
-            yield "/comment", "comment", at, at + len(body), body
-            continue
-        for dash in re.finditer("- +", m["dash"]):
-            column = indent + dash.start()
-            while stack and (stack[-1][0] > column or (stack[-1][0] == column and isinstance(stack[-1][1], int))):
-                stack.pop()  # a key at the same column is the sequence's own
-            parent = "".join(segment(s[1]) for s in stack)
-            stack.append([column, counts[parent]])
-            counts[parent] += 1
-        indent += len(m["dash"])
-        if k := _YAML_KEY.match(body):
-            while stack and stack[-1][0] >= indent:
-                stack.pop()
-            key = k["key"].strip("\"'")
-            stack.append([indent, key])
-            path = "".join(segment(s[1]) for s in stack)
-            yield path, "key", at + k.start("key"), at + k.end("key"), key
-            body, at = body[k.end() :], at + k.end()
-        path = "".join(segment(s[1]) for s in stack)
-        if re.match(r"[|>][-+0-9]*\s*(#.*)?$", body):
-            block = [stack[-1][0] if stack else 0, path, None, None]
-        elif q := re.match(r'"((?:[^"\\]|\\.)*)"|\'((?:[^\']|\'\')*)\'', body):
-            n = 1 if q[1] is not None else 2
-            yield path, "string", at + q.start(n), at + q.end(n), _unquoted(q[1]) if n == 1 else q[2].replace("''", "'")
-        elif plain := re.match(r"[^#\s](?:[^#\n]|(?<=\S)#)*", body):
-            value = plain[0].rstrip()
-            yield path, "scalar", at, at + len(value), value
-    if block is not None and block[2] is not None:
-        yield block[1], "block-scalar", block[2], block[3], text[block[2] : block[3]]
-
-
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 
 
 def read_markdown(text: str) -> Iterator[Span]:
-    """Headings, list items, table cells and paragraphs (wrapped lines joined); fences and indented code are code."""
+    """Headings of both styles, list items, table cells and paragraphs (wrapped lines joined), and the YAML of front matter
+    under /front; fences, indented code and rules are none."""
     at, fence, prose, n = 0, "", None, Counter()
-    front = text.startswith("---\n") and text.find("\n---", 3) > 0
+    front = re.match(r"---[ \t]*\n(.*?\n)?---[ \t]*(?=\n|\Z)", text, re.DOTALL)
+    if front and front[1]:
+        yield from (("/front" + p, k, a + front.start(1), b + front.start(1), v) for p, k, a, b, v in read_yaml(front[1]))
 
     def close() -> Iterator[Span]:
         nonlocal prose
@@ -174,10 +127,9 @@ def read_markdown(text: str) -> Iterator[Span]:
             yield f"p[{n['p'] - 1}]", "prose-run", a, b, re.sub(r"\s*\n\s*", " ", text[a:b])
             prose = None
 
-    for i, line in enumerate(text.split("\n")):
+    for line in text.split("\n"):
         start, at = at, at + len(line) + 1
-        if front:
-            front = not (i and line.startswith("---"))
+        if front and start < front.end():
             continue
         mark = _FENCE.match(line)
         if fence:
@@ -195,6 +147,12 @@ def read_markdown(text: str) -> Iterator[Span]:
             n["h"] += 1
             if m[2]:
                 yield f"h{len(m[1])}[{n['h'] - 1}]", "prose-run", start + m.start(2), start + m.end(2), m[2]
+        elif prose is not None and (m := re.match(r" {0,3}(=+|-+)[ \t]*$", line)):  # what stands above is a heading
+            a, b = prose
+            prose, n["h"] = None, n["h"] + 1
+            yield f"h{1 if m[1][0] == '=' else 2}[{n['h'] - 1}]", "prose-run", a, b, re.sub(r"\s*\n\s*", " ", text[a:b])
+        elif re.match(r" {0,3}([-*_])([ \t]*\1){2,}[ \t]*$", line):
+            yield from close()
         elif line.lstrip().startswith("|"):
             yield from close()
             for m in re.finditer(r"\|[ \t]*([^|\n]*[^|\s])", line):
@@ -219,7 +177,7 @@ def read_markup(text: str) -> Iterator[Span]:
     """Text runs, attributes, comments and character data, under the names of the open elements; entities are decoded."""
     import html
 
-    stack, n, at = [], Counter(), 0
+    stack, names, open_names, n, at = [], [], Counter(), Counter(), 0
 
     def run(a: int, b: int) -> Iterator[Span]:
         raw = text[a:b]
@@ -237,9 +195,13 @@ def read_markup(text: str) -> Iterator[Span]:
         elif m["cdata"] is not None:
             yield "/".join(stack) + "/cdata", "prose-run", m.start("cdata"), m.end("cdata"), m["cdata"]
         elif m["close"]:
-            if m["close"] in stack:
-                while stack.pop() != m["close"]:
-                    pass
+            if (name := m["close"].lower()) in open_names:
+                while True:
+                    stack.pop()
+                    open_names[last := names.pop()] -= 1
+                    if last == name:
+                        break
+                open_names = +open_names
         elif m["open"]:
             for a in _ATTR.finditer(m["attrs"]):
                 g = next(g for g in (2, 3, 4) if a[g] is not None)
@@ -247,6 +209,8 @@ def read_markup(text: str) -> Iterator[Span]:
                 yield f"{m['open']}/@{a[1]}", "attr", off + a.start(g), off + a.end(g), html.unescape(a[g])
             if m["open"].lower() not in _VOID and not m["attrs"].rstrip().endswith("/"):
                 stack.append(m["open"])
+                names.append(m["open"].lower())
+                open_names[names[-1]] += 1
                 if m["open"].lower() in ("script", "style"):  # what it holds is no markup
                     end = re.compile(rf"</{m['open']}\s*>", re.IGNORECASE).search(text, at)
                     start, at = at, end.start() if end else len(text)
@@ -257,43 +221,97 @@ def read_markup(text: str) -> Iterator[Span]:
 
 
 def read_po(text: str) -> Iterator[Span]:
-    """msgid, msgid_plural, msgstr and msgctxt of each entry, one span for each quoted line; comments."""
-    entry, field = -1, ""
-    for m in re.finditer(r'(?m)^[ \t]*(?:(#[^\n]*)|(msgctxt|msgid_plural|msgid|msgstr(?:\[\d+\])?)[ \t]+"((?:[^"\\\n]|\\.)*)"|"((?:[^"\\\n]|\\.)*)")', text):
+    """msgid, msgid_plural, msgstr and msgctxt of each entry, the lines of a string joined; comments. Obsolete entries are none."""
+    entry, field, parts = -1, "", []
+    line = re.compile(r'(?m)^[ \t]*(?:(#[^\n]*)|(msgctxt|msgid_plural|msgid|msgstr(?:\[\d+\])?)[ \t]+"((?:[^"\\\n]|\\.)*)"|"((?:[^"\\\n]|\\.)*)")')
+
+    def joined() -> Iterator[Span]:
+        if value := "".join(_unquoted(text[a:b]) for a, b in parts):
+            first = next(a for a, b in parts if b > a) if not text[slice(*parts[0])] and len(parts) == 2 else parts[0][0]
+            yield f"/{entry}/{field}", "string", first, parts[-1][1], value
+
+    for m in line.finditer(text):
+        if m[4] is not None:
+            if field:
+                parts.append(m.span(4))
+            continue
+        yield from joined() if parts else ()
+        parts = []
         if m[1]:
-            yield "/comment", "comment", m.start(1), m.end(1), m[1]
+            field = "" if m[1].startswith("#~") else field
+            if not m[1].startswith("#~"):
+                yield "/comment", "comment", m.start(1), m.end(1), m[1]
             continue
-        if m[2]:
-            entry += m[2] in ("msgctxt", "msgid") and not (m[2] == "msgid" and field == "msgctxt")
-            field = m[2]
-        g = 3 if m[2] else 4
-        if m[g]:
-            yield f"/{entry}/{field}", "string", m.start(g), m.end(g), _unquoted(m[g])
+        entry += m[2] in ("msgctxt", "msgid") and not (m[2] == "msgid" and field == "msgctxt")
+        field, parts = m[2], [m.span(3)]
+    yield from joined() if parts else ()
+
+
+_TOML = re.compile(r"""(?P<comment>\#[^\n]*)|\"\"\"(?P<long>(?:[^\\]|\\.)*?"{0,2})\"\"\"|'''(?P<raw3>.*?'{0,2})'''|"(?P<basic>(?:[^"\\\n]|\\.)*)"|'(?P<raw>[^'\n]*)'|(?P<bare>[\w.+:-]+)|(?P<mark>[\[\]{}=,\n])|(?P<other>.)""", re.DOTALL)
+
+
+def _toml_text(kind: str, raw: str) -> str:
+    if kind in ("long", "raw3"):
+        raw = raw.removeprefix("\n")
+    if kind in ("raw", "raw3"):
+        return raw
+    raw = re.sub(r"(?<!\\)((?:\\\\)*)\\[ \t]*\n\s*", r"\1", raw)  # an escaped line end
+    raw = re.sub(r"\\(?:U([0-9A-Fa-f]{8})|(.))", lambda m: chr(int(m[1], 16)) if m[1] else "\x1b" if m[2] == "e" else m[0], raw, flags=re.DOTALL)
+    return _unquoted(raw.replace('"', '\\"') if kind == "long" and '"' in re.sub(r"\\.", "", raw, flags=re.DOTALL) and "\\" not in raw else raw)
 
 
 def read_toml(text: str) -> Iterator[Span]:
-    """Strings of tables and arrays of tables, with their keys."""
-    table, key, index = "", "", 0
-    counts: Counter[str] = Counter()
-    token = re.compile(r"""(?m)^[ \t]*\[\[(?P<many>[^\]\n]+)\]\]|^[ \t]*\[(?P<one>[^\]\n]+)\]|^[ \t]*(?P<key>[\w."'-]+)[ \t]*=|(?P<comment>\#[^\n]*)|\"\"\"(?P<long>(?:[^\\]|\\.)*?)\"\"\"|'''(?P<raw3>.*?)'''|"(?P<basic>(?:[^"\\\n]|\\.)*)"|'(?P<raw>[^'\n]*)'""", re.DOTALL)
-    split = lambda k: "".join(segment(x.strip("\"' ")) for x in k.split("."))
-    for m in token.finditer(text):
-        if m["many"]:
-            table = split(m["many"])
-            counts[table] += 1
-            table, key = f"{table}/{counts[table] - 1}", ""
-        elif m["one"]:
-            table, key = split(m["one"]), ""
-        elif m["key"]:
-            key, index = split(m["key"]), 0
-            line = text[m.end() :].split("\n", 1)[0].lstrip()
-            many = line.startswith("[")
-        elif m["comment"]:
-            yield "/comment", "comment", m.start("comment"), m.end("comment"), m["comment"]
-        elif key:
-            g = next(g for g in ("long", "raw3", "basic", "raw") if m[g] is not None)
-            yield table + key + (f"/{index}" if many else ""), "string", m.start(g), m.end(g), _unquoted(m[g]) if g in ("long", "basic") else m[g]
-            index += 1
+    """Strings of tables, arrays of tables, arrays and inline tables, and comments."""
+    many: Counter[str] = Counter()  # tables of each array of tables
+    table, keys, stack = "", [], []  # [its brackets, index or path so far]
+    head, due = 0, True  # brackets of the header being read; a key is due
+
+    def placed(parts: list[str]) -> str:
+        """A header's path: below an array of tables it goes on in its last table."""
+        path = ""
+        for part in parts:
+            path += segment(part)
+            path += f"/{many[path] - 1}" if path in many else ""
+        return path
+
+    for m in _TOML.finditer(text):
+        kind, token = m.lastgroup, m[0]
+        if kind == "comment":
+            yield "/comment", "comment", m.start(), m.end(), token
+        elif kind in ("long", "raw3", "basic", "raw", "bare") and due:
+            keys += [x for x in token.split(".") if x] if kind == "bare" else [_toml_text(kind, m[kind])]
+        elif kind in ("long", "raw3", "basic", "raw"):
+            a = m.start(kind) + (kind in ("long", "raw3") and m[kind].startswith("\n"))
+            yield "".join(s[1] + (f"/{s[2]}" if s[0] == "[" else "") for s in stack), "string", a, m.end(kind), _toml_text(kind, m[kind])
+        elif kind != "mark":
+            continue
+        elif token == "\n":
+            if not [s for s in stack if s[0]]:
+                stack, keys, due, head = [], [], True, 0
+        elif token == "=" and due:
+            stack.append(["", (table if not stack else "") + "".join(map(segment, keys)), 0])
+            keys, due = [], False
+        elif token == "[" and due and not stack:
+            head += 1
+        elif token == "]" and head:
+            if keys:
+                path = placed(keys[:-1]) + segment(keys[-1])
+                if head > 1:
+                    many[path] += 1
+                table, keys = path + (f"/{many[path] - 1}" if path in many else ""), []
+        elif token in "[{":
+            stack.append([token, "", 0])
+            due = token == "{"
+        elif token in "]}":
+            while stack and not stack.pop()[0]:
+                pass
+            due = False
+        elif token == "," and stack:
+            if not stack[-1][0]:
+                stack.pop()
+            if stack and stack[-1][0] == "[":
+                stack[-1][2] += 1
+            due = bool(stack) and stack[-1][0] == "{"
 
 
 def _lexer(pattern: str, value: Callable[[str], str] = _unquoted) -> Callable[[str], Iterator[Span]]:

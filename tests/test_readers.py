@@ -14,8 +14,8 @@ FILES = {
         {"/name": "My é app", "/jobs/build/steps/0/name": "One\n", "/jobs/build/steps/0/run": "          echo a\n          echo b", "/jobs/build/steps/1/uses": "x", "/jobs/build/steps/1/with/body": "it's", "/list/0": "a", "/list/1": "b", "/last": "z"},
     ),
     "markdown": (
-        "---\nt: x\n---\n# Head é #\n\npara one\nwraps\n\n- item\n- two\n  more\n\n| a | b |\n|---|---|\n| c | d |\n\n```js\ncode\n```\n> quote\nend",
-        {"h1[0]": "Head é", "p[0]": "para one wraps", "p[1]": "item", "p[2]": "two more", "cell[0]": "a", "cell[1]": "b", "cell[2]": "c", "cell[3]": "d", "p[3]": "quote end"},
+        "---\nt: x\n---\n# Head é #\n\npara one\nwraps\n\n- item\n- two\n  more\n\n| a | b |\n|---|---|\n| c | d |\n\n```js\ncode\n```\n> quote\nend\n\n* * *\nSetext\nhead\n===\nsmall\n---\n",
+        {"/front/t": "x", "h1[1]": "Setext head", "h2[2]": "small", "h1[0]": "Head é", "p[0]": "para one wraps", "p[1]": "item", "p[2]": "two more", "cell[0]": "a", "cell[1]": "b", "cell[2]": "c", "cell[3]": "d", "p[3]": "quote end"},
     ),
     "markup": ('<p title="a &amp; b">Hi <b>there é</b></p><script>if (a<b) "x"</script><!-- c --><br/>tail &lt;', {"p/@title": "a & b", "p/text[0]": "Hi", "b/text[1]": "there é", "/text[2]": "tail <", "script/code[0]": 'if (a<b) "x"'}),
     "po": (
