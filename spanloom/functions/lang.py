@@ -51,7 +51,10 @@ def detect_columns(df, text: str, candidates=LANGUAGES, prefix: str = ""):
     p = prefix
     df = df.withColumn("_norm", normalized(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumns({f"{p}letters": F.regexp_count("_norm", F.lit(r"\p{L}")).cast("long"), "_tokens": F.filter(F.split(F.lower("_norm"), TOKEN_BREAK), lambda t: t != "")})
-    hits = {lang: F.size(F.filter("_tokens", _is_stopword(lang))) for lang in candidates if STOPWORDS[lang]}
+    # most tokens are no stopword of any language, and are looked at once
+    every = sorted({w for lang in candidates for w in STOPWORDS[lang].split()})
+    df = df.withColumn("_known", F.filter("_tokens", lambda t: t.isin(every)))
+    hits = {lang: F.size(F.filter("_known", _is_stopword(lang))) for lang in candidates if STOPWORDS[lang]}
     df = df.withColumns({f"_h_{lang}": h for lang, h in hits.items()})
     marks = {lang: [(pattern, w) for x, pattern, w in ORTHOGRAPHY if x == lang] for lang in candidates}
     ortho = {f"_o_{lang}": reduce(lambda a, b: a + b, (F.when(rx.matches(F.col("_norm"), pattern), w).otherwise(0.0) for pattern, w in ms)) for lang, ms in marks.items() if ms}
@@ -80,7 +83,7 @@ def detect_columns(df, text: str, candidates=LANGUAGES, prefix: str = ""):
         f"{p}method": F.when(F.col("_script").isNotNull(), "script").when(F.col("_refused"), "none").when(any_hit & any_mark, "combined").when(any_hit, "stopword").otherwise("trigram"),
     })
     out = [f"{p}{x}" for x in ("letters", "bucket", "detected", "confidence", "method")]
-    kept = [c for c in df.columns if c not in out and c not in ("_norm", "_tokens", "_ranked", "_script", "_refused") and not c.startswith(("_h_", "_o_"))]
+    kept = [c for c in df.columns if c not in out and c not in ("_norm", "_tokens", "_known", "_ranked", "_script", "_refused") and not c.startswith(("_h_", "_o_"))]
     # as generated rows (one for one), so that a filter on a verdict isn't pushed below and spelt out again for every use
     return df.select(*kept, F.inline(F.array(F.struct(*out))))
 
