@@ -41,3 +41,20 @@ def test_paths_become_unique(spark):
     assert len({(r.file, r.path) for r in out}) == len(rows) == len(out)
     assert {(r.kind, r.path, r.renamed) for r in out if r.file == "f"} == {("string", "k", False), ("key", "k~2", False)}
     assert {(r.start, r.path, r.renamed) for r in out if r.file == "g"} == {(3, "x", False), (9, "x~4", True), (1, "x~5", True), (4, "x~2", False), (4, "x~3", False)}
+
+
+def test_selections(spark):
+    import pytest
+
+    from spanloom.operators.select import UnknownToken, select_sites
+
+    rows = [("a/b.ts", "translate", "ui.x", "npm.a", "Hello"), ("a/c.ts", "translate", "doc.y", None, "hello there"), (None, "needs-judgment", None, "web.m", None), ("b.ts", "unclassified", "ui.z", "npm.b.c", "HELLO")]
+    sites = spark.createDataFrame(rows, "file string, verdict string, surface string, rule string, value string")
+    pick = lambda **by: sorted(r.value or "" for r in select_sites(sites, **by).collect())
+    assert pick() == sorted(r[4] or "" for r in rows) and pick(value="hello") == ["HELLO", "Hello", "hello there"]
+    assert pick(file="a/*", value="THERE") == ["hello there"] and pick(surface="ui.*", verdict="translate") == ["Hello"] and pick(rule="web.m") == [""] and pick(ecosystem="npm") == ["HELLO", "Hello"]
+    with pytest.raises(UnknownToken, match="not a verdict"):
+        pick(verdict="done")
+    with pytest.raises(UnknownToken, match="no rule matches 'go"):
+        pick(ecosystem="go")
+    assert select_sites(sites.filter("rule is null"), rule="go.*").count() == 0
