@@ -36,7 +36,7 @@ def icu_messages(spark, sf_dir):
 
 
 def _arm(argument: int, parent: int, depth: int, start: str, end: str, name: str, kind: str, offset: str, selector: str, category: str, at: str, body: str) -> str:
-    return f"SELECT doc_id::VARCHAR AS site_key, {argument} AS argument, {parent} AS parent, {depth} AS depth, {start} AS start, {end} AS \"end\", '{name}' AS name, '{kind}' AS type, {offset} AS \"offset\", '{selector}' AS selector, {category} AS category, {at} AS body_start, {body} AS body FROM p"
+    return f"SELECT doc_id::VARCHAR AS site_key, {argument}::BIGINT AS argument, {parent}::BIGINT AS parent, {depth}::BIGINT AS depth, ({start})::BIGINT AS start, ({end})::BIGINT AS \"end\", '{name}' AS name, '{kind}' AS type, {offset}::BIGINT AS \"offset\", '{selector}' AS selector, {category} AS category, ({at})::BIGINT AS body_start, {body} AS body FROM p"
 
 
 _LITERAL = _INNER.replace("'", "''")
@@ -79,10 +79,10 @@ def fluent_files(spark, sf_dir):
 
 @query(f"""
     WITH p AS (SELECT doc_id || '.ftl' AS file, lang, {_FLAT} AS flat FROM documents WHERE text <> '')
-    SELECT file, 0 AS argument, '$n' AS name, 'variable' AS type, 'one' AS selector, false AS "default", 'one' AS category, 'One ' || lang AS body FROM p
-    UNION ALL SELECT file, 0, '$n', 'variable', 'other', true, 'other', flat || chr(10) || '{{ NUMBER($n) ->' || chr(10) || '[0] {{ "{{" }} none' || chr(10) || '*[few] some' || chr(10) || '}}' FROM p
-    UNION ALL SELECT file, 1, 'NUMBER($n)', 'function', '0', false, NULL, '{{ "{{" }} none' FROM p
-    UNION ALL SELECT file, 1, 'NUMBER($n)', 'function', 'few', true, 'few', 'some' FROM p""")
+    SELECT file, 0::BIGINT AS argument, '$n' AS name, 'variable' AS type, 'one' AS selector, false AS "default", 'one' AS category, 'One ' || lang AS body FROM p
+    UNION ALL SELECT file, 0::BIGINT, '$n', 'variable', 'other', true, 'other', flat || chr(10) || '{{ NUMBER($n) ->' || chr(10) || '[0] {{ "{{" }} none' || chr(10) || '*[few] some' || chr(10) || '}}' FROM p
+    UNION ALL SELECT file, 1::BIGINT, 'NUMBER($n)', 'function', '0', false, NULL, '{{ "{{" }} none' FROM p
+    UNION ALL SELECT file, 1::BIGINT, 'NUMBER($n)', 'function', 'few', true, 'few', 'some' FROM p""")
 def fluent_arms(spark, sf_dir):
     """Resources to entries to arms."""
     values = inventory.sites(fluent_files(spark, sf_dir)).filter("kind = 'message'").select(F.concat("file", F.lit("#"), "path").alias("site_key"), "value")
@@ -92,7 +92,7 @@ def fluent_arms(spark, sf_dir):
 
 @query(f"""
     WITH p AS (SELECT doc_id || '.ftl' AS file, {_FLAT} AS flat FROM documents WHERE text <> '')
-    SELECT file, '/msg' AS path, ['one', 'other'] AS categories, 2 AS n FROM p UNION ALL SELECT file, '/msg', ['few'], 2 FROM p""")
+    SELECT file, '/msg' AS path, ['one', 'other'] AS categories, 2::BIGINT AS n FROM p UNION ALL SELECT file, '/msg', ['few'], 2::BIGINT FROM p""")
 def fluent_families(spark, sf_dir):
     """Families of categories that the arms of a resource's messages make; the attribute without arms makes none."""
     values = inventory.sites(fluent_files(spark, sf_dir)).filter("kind = 'message'").select(F.concat("file", F.lit("#"), "path").alias("site_key"), "value")
