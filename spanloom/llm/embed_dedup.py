@@ -8,7 +8,12 @@ in exactly one cell. A pair is taken up in the first block that admits it, and v
 precision over the whole vectors, there and then: tasks hand on counts and spanning forests, never pairs.
 
 How many coordinates are cut is told by the vectors themselves: cells are counted for each number of cuts, and the one
-with the least work (rows handed over, pairs compared) is taken, so that more vectors get finer cells.
+with the least work (rows handed over, pairs compared) is taken, so that more vectors get finer cells. No cut at all is
+one of them: the whole vector is one block then, and all pairs are compared. Vectors that fill their space evenly give
+cells nothing to tell apart, and each block's cells together hold more pairs than there are.
+
+A tile compares pairs by their distance over leading coordinates in single precision, which is never more than that
+over the block; the few that stay within the budget, with what single precision may err, go on to doubles.
 
 Equal vectors are joined as one class with a count. Crowded cells are dealt to tiles of bounded size, pair of chunks by
 pair of chunks; there are as many cells as geometry allows, not as the corpus asks for.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -36,19 +42,26 @@ from .simhash import _merge
 
 BLOCK = 8
 #: Components of the vectors of a chunk: a tile compares two chunks at most, whatever the dimensions.
-CHUNK = 12288 * 64
-#: Coordinates of a block that may be cut, and how many compared pairs handing over one row is worth.
-CUTS, ROW_WORK = range(1, 6), 8000
+CHUNK = 32768 * 64
+#: Coordinates of a block that may be cut (0: no blocks), and how many compared pairs handing over one row is worth.
+CUTS, ROW_WORK = range(6), 8000
+#: Chunks of the whole where it isn't cut, and vectors of the smallest that are worth a tile.
+SHARES, SHARE = 6, 2048
 SLACK = 1e-9
+#: Coordinates that are compared in single precision, and by how much half a squared distance may err there.
+LEADING, SINGLE = 16, 1e-5
+#: Rows and columns that are compared at a time, and pairs that are verified at a time.
+ROWS, COLUMNS, PAIRS = 256, 1024, 20_000
 
 
+@lru_cache(maxsize=4)
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
 
 
-def blocks(dims: int) -> list[slice]:
-    return [slice(a, min(a + BLOCK, dims)) for a in range(0, dims, BLOCK)]
+def blocks(dims: int, cut: int) -> list[slice]:
+    return [slice(a, min(a + BLOCK, dims)) for a in range(0, dims, BLOCK)] if cut else [slice(0, dims)]
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -97,13 +110,13 @@ def _cells(rot: np.ndarray, part: slice, radius: float, cut: int) -> tuple[np.nd
 
 def _spread(rot: np.ndarray, threshold: float, cut: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(block, rows, cell codes): where each vector goes."""
-    parts = blocks(rot.shape[1])
+    parts = blocks(rot.shape[1], cut)
     for b, part in enumerate(parts):
         radius = math.sqrt((2 - 2 * threshold) * (part.stop - part.start) / rot.shape[1])
         own, up = _cells(rot, part, radius, cut)
         for step in product((0, 1), repeat=own.shape[1]):
-            rows = np.flatnonzero(np.logical_and.reduce([m if s else np.ones(len(rot), bool) for s, m in zip(step, up, strict=True)]))
-            yield b, rows, _code(own[rows] + np.array(step))
+            rows = np.flatnonzero(np.logical_and.reduce([np.ones(len(rot), bool), *(m for s, m in zip(step, up, strict=True) if s)]))
+            yield b, rows, _code(own[rows] + np.array(step, np.int64))
 
 
 def _code(cells: np.ndarray) -> np.ndarray:
@@ -121,6 +134,53 @@ def _by_length(raws: list[bytes], wide: bool) -> Iterator[tuple[np.ndarray, np.n
         yield rows, _floats([raws[i] for i in rows], wide)
 
 
+def _near(x: np.ndarray, left: np.ndarray, right: np.ndarray, sweep: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``left`` and ``right`` (each pair once if they are the same) that may lie within the squared distance ``budget``.
+
+    Along ``sweep``, a coordinate of ``x``, only what lies within the radius is compared.
+    """
+    if not len(left) or not len(right):
+        return
+    same = left is right
+    left, right = (side[np.argsort(sweep[side], kind="stable")] for side in (left, right))
+    ahead, reach = sweep[right], math.sqrt(budget) + SLACK
+    head = x[:, :LEADING].astype(np.float32)
+    half, one = (head * head).sum(axis=1) / 2, np.ones(len(head), np.float32)
+    # products of the two sides are minus half the squared distance; rows of no vector come out far away
+    rows = np.column_stack([head, -half, one])[left]
+    width = min(COLUMNS, (len(right) + 7) & -8)
+    columns = np.zeros((len(right) + width, rows.shape[1]), np.float32)
+    columns[: len(right)] = np.column_stack([head, one, -half])[right]
+    columns[len(right) :, -1] = -9
+    least = np.float32(-budget / 2 - SINGLE)
+    products, close = (np.empty((min(ROWS, len(left)), width), t) for t in (np.float32, bool))
+    held, size = [], 0
+    for at in range(0, len(left), ROWS):
+        some = rows[at : at + ROWS]
+        n = len(some)
+        begin = at if same else 0
+        begin = max(begin, int(np.searchsorted(ahead, sweep[left[at]] - reach)))
+        end = int(np.searchsorted(ahead, sweep[left[at + n - 1]] + reach, side="right"))
+        for k in range(begin, end, width):
+            np.matmul(some, columns[k : k + width].T, out=products[:n])
+            np.greater_equal(products[:n], least, out=close[:n])
+            eights = np.flatnonzero(close[:n].view(np.uint64))  # most are empty
+            if not len(eights):
+                continue
+            which, bit = np.nonzero(close[:n].reshape(-1, 8)[eights])
+            a, b = np.divmod(eights[which] * 8 + bit, width)
+            a, b = a + at, b + k
+            if same:
+                a, b = a[a < b], b[a < b]
+            held.append((left[a], right[b]))
+            size += len(a)
+            if size >= PAIRS:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _tile(pdf: pd.DataFrame, threshold: float, cut: int, wide: bool) -> pd.DataFrame:
     """(id, links, root) of the vectors of one tile that link with another."""
     pdf = pdf.sort_values(["own_chunk", "id"], kind="stable")
@@ -128,37 +188,28 @@ def _tile(pdf: pd.DataFrame, threshold: float, cut: int, wide: bool) -> pd.DataF
     raw = _floats([*pdf["raw"]], wide)
     ids, copies, chunk = (pdf[c].to_numpy() for c in ("id", "n", "own_chunk"))
     unit, rot = _unit(raw), _rotated(raw)
-    parts = blocks(raw.shape[1])
+    parts = blocks(raw.shape[1], cut)
     radii = np.array([(2 - 2 * threshold) * (p.stop - p.start) / raw.shape[1] for p in parts]) + SLACK
     own, _ = _cells(rot, parts[block], math.sqrt(radii[block] - SLACK), cut)
     x = rot[:, parts[block]]
-    squares = (x * x).sum(axis=1)
-    first = int((chunk == i).sum()) if i != j else len(ids)
-    left, right = np.arange(first), np.arange(len(ids)) if i == j else np.arange(first, len(ids))
+    first = int((chunk == i).sum())
+    left = np.arange(first)
+    right = left if i == j else np.arange(first, len(ids))
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    # along a coordinate that isn't cut, only what lies within the radius is compared
-    sweep = x[:, min(cut, x.shape[1] - 1)]
-    left, right = (side[np.argsort(sweep[side], kind="stable")] for side in (left, right))
-    ahead, reach = sweep[right], math.sqrt(radii[block]) + SLACK
-    for at in range(0, len(left), 64):
-        some = left[at : at + 64]
-        facing = right[np.searchsorted(ahead, sweep[some[0]] - reach) : np.searchsorted(ahead, sweep[some[-1]] + reach, side="right")]
-        near = squares[some][:, None] + squares[facing][None, :] - 2 * (x[some] @ x[facing].T) <= radii[block] + SLACK
-        a, b = np.nonzero(near)
-        a, b = some[a], facing[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        for k in range(0, len(a), 20_000):
-            p, q = a[k : k + 20_000], b[k : k + 20_000]
-            here = _code(np.maximum(own[p], own[q])) == code  # the one cell in which the two are to meet
-            p, q = p[here], q[here]
-            d = rot[p] - rot[q]
-            gaps = np.stack([(d[:, s] ** 2).sum(axis=1) for s in parts], axis=1) <= radii
-            taken = gaps[:, block] & ~gaps[:, :block].any(axis=1)
-            p, q = p[taken], q[taken]
+    for a, b in _near(x, left, right, x[:, min(cut, x.shape[1] - 1)], radii[block]):
+        for k in range(0, len(a), PAIRS):
+            p, q = a[k : k + PAIRS], b[k : k + PAIRS]
+            if cut:
+                here = _code(np.maximum(own[p], own[q])) == code  # the one cell in which the two are to meet
+                p, q = p[here], q[here]
+                d = rot[p] - rot[q]
+                gaps = np.stack([(d[:, s] ** 2).sum(axis=1) for s in parts], axis=1) <= radii
+                taken = gaps[:, block] & ~gaps[:, :block].any(axis=1)
+                p, q = p[taken], q[taken]
             linked = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
             p, q = p[linked], q[linked]
-            links += np.bincount(p, copies[q], len(ids)).astype(np.int64) + np.bincount(q, copies[p], len(ids)).astype(np.int64)
+            np.add.at(links, p, copies[q])
+            np.add.at(links, q, copies[p])
             _merge(label, p, q)
     out = np.flatnonzero(links)
     least = np.full(len(ids), np.iinfo(np.int64).max)
@@ -166,6 +217,16 @@ def _tile(pdf: pd.DataFrame, threshold: float, cut: int, wide: bool) -> pd.DataF
     return pd.DataFrame({"id": ids[out], "links": links[out], "root": least[label[out]]})
 
 
+def least_work(counts: DataFrame) -> tuple[int, dict[tuple[int, int, int], int]]:
+    """(number of cuts, chunks of each crowded cell) with the least work. counts: cut, dims, block, cell, n (vectors there)."""
+    n, chunks = F.col("n").cast("double"), F.ceil(F.col("n") * F.col("dims") / CHUNK)
+    chunks = F.when(F.col("cut") == 0, F.greatest(chunks, F.least(F.lit(SHARES), F.ceil(F.col("n") / SHARE)))).otherwise(chunks)
+    works = counts.groupBy("cut").agg(F.sum(n * chunks * ROW_WORK + n * n / 2).alias("work"))
+    best = works.orderBy("work", "cut").first()  # a row for each number of cuts
+    cut = best.cut if best else CUTS[0]
+    return cut, {(r.dims, r.block, r.cell): r.chunks for r in counts.withColumn("chunks", chunks).filter((F.col("cut") == cut) & (chunks > 1)).collect()}
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     wide = _wide(vectors)
@@ -186,17 +247,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     # cells of a unit ball: their number depends on dimensions and radius alone, and only crowded ones are named
     counts = classes.select("raw").mapInArrow(count, "cut int, dims int, block int, cell long, n long")
     counts = written(counts.groupBy("cut", "dims", "block", "cell").agg(F.sum("n").alias("n")), "cells")
-    n, chunks = F.col("n").cast("double"), F.ceil(F.col("n") * F.col("dims") / CHUNK)
-    works = counts.groupBy("cut").agg(F.sum(n * chunks * ROW_WORK + n * n / 2).alias("work"))
-    best = works.orderBy("work", "cut").first()  # a row for each number of cuts
-    cut = best.cut if best else CUTS[0]
-    crowded = {(r.dims, r.block, r.cell): r.chunks for r in counts.withColumn("chunks", chunks).filter((F.col("cut") == cut) & (chunks > 1)).collect()}
+    cut, crowded = least_work(counts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, raws = (c.to_pylist() for c in batch.columns)
-            ids, n = np.array(ids, np.int64), np.array(n, np.int64)
-            for rows, raw in _by_length(raws, wide):
+            ids, n, raws = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for rows, raw in _by_length(raws.to_pylist(), wide):
                 for b, hit, codes in _spread(_rotated(raw), threshold, cut):
                     own = np.array([hash((int(x), 7)) for x in ids[rows[hit]]], np.int64)
                     many = np.array([crowded.get((raw.shape[1], b, int(c)), 1) for c in codes], np.int64)
@@ -205,7 +261,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                     other = np.concatenate([np.arange(m) for m in many]) if len(many) else np.empty(0, np.int64)
                     at, c = rows[hit][times], chunk[times]
                     size = len(at)
-                    cols = [pa.array(np.full(size, raw.shape[1], np.int32)), pa.array(np.full(size, b, np.int32)), pa.array(codes[times]), pa.array(np.minimum(c, other).astype(np.int32)), pa.array(np.maximum(c, other).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(ids[at]), pa.array(n[at]), pa.array([raws[k] for k in at], pa.binary())]
+                    cols = [pa.array(np.full(size, raw.shape[1], np.int32)), pa.array(np.full(size, b, np.int32)), pa.array(codes[times]), pa.array(np.minimum(c, other).astype(np.int32)), pa.array(np.maximum(c, other).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(ids[at]), pa.array(n[at]), raws.take(pa.array(at))]
                     yield pa.RecordBatch.from_arrays(cols, ["dims", "block", "cell", "i", "j", "own_chunk", "id", "n", "raw"])
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -542,6 +542,48 @@ def test_crowded_cells_are_dealt_to_tiles(spark, monkeypatch):
     assert sorted(map(tuple, embed_dedup.near_duplicates(df).collect())) == whole
 
 
+def test_cuts_give_what_all_pairs_give(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64))
+    x[500:] = x[rng.integers(500, size=1000)] + rng.standard_normal((1000, 64)) * rng.choice([0.05, 0.2, 0.23, 0.26], (1000, 1))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    roots = root_of([*zip(*np.nonzero(near), strict=True)], range(len(x)))
+    expected = {i: (near[i].sum(), roots[i]) for i in range(len(x))}
+    for cuts, share in ((range(6), 200), (range(1, 6), 2048), ([4], 2048)):  # no blocks, in several chunks; cells
+        monkeypatch.setattr(embed_dedup, "CUTS", cuts)
+        monkeypatch.setattr(embed_dedup, "SHARE", share)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()} == expected
+
+
+def test_cells_are_left_where_they_hold_more_pairs_than_there_are(spark):
+    def chosen(x, threshold, times):
+        spread = [(cut, 64, b, int(c)) for cut in embed_dedup.CUTS for b, _, codes in embed_dedup._spread(embed_dedup._rotated(x), threshold, cut) for c in codes]
+        cut, crowded = embed_dedup.least_work(spark.createDataFrame([(*k, n * times) for k, n in Counter(spread).items()], "cut int, dims int, block int, cell long, n long"))
+        return cut, sum(crowded.get(k[1:], 1) for k in spread if k[0] == cut) / len(x)
+
+    rng = np.random.default_rng(5)
+    even, narrow = rng.standard_normal((1000, 64)), np.outer(rng.uniform(-3, 3, 1000), rng.standard_normal(64)) + rng.standard_normal(64)
+    cut, rows = chosen(even, 0.95, 50)
+    assert cut == 0 and rows <= embed_dedup.SHARES
+    assert chosen(narrow, 0.999999, 5000)[0] > 0
+
+
+def test_pairs_compared_in_single_precision():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1400, 20)) * 0.1
+    d = ((x[:, None, :16] - x[None, :, :16]) ** 2).sum(axis=2)
+    whole = np.arange(1400)
+    for left, right in ((whole, whole), (whole[:900], whole[900:]), (whole[:3], whole[3:])):
+        got = Counter()
+        for a, b in embed_dedup._near(x, left, right, x[:, 0], 0.1):
+            got.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        want = {(i, j) for i in left.tolist() for j in right.tolist() if i < j and d[i, j] <= 0.1}
+        assert max(got.values()) == 1 and want <= {*got} and max(d[k] for k in got) <= 0.1 + 1e-4
+
+
 # 10 SimHash
 
 
