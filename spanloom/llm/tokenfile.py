@@ -40,12 +40,15 @@ NO_ID = -(1 << 63)
 _TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 36)
 _W = np.uint64(16)
 _SHARE = 4096
+#: By confidence and whether it hit: whether the expected id stays, and the confidence after.
+_STAYS = np.array([hit or k > 1 for k in range(16) for hit in (False, True)])
+_NEXT = np.array([min(k + 1, 15) if hit else k >> 1 for k in range(16) for hit in (False, True)], np.int64)
 
 
 class _Model:
     """Predictions for all lanes of a step. A context's slot holds the id expected after it, times 16, plus a confidence."""
 
-    HASH_BITS, MOST = 17, 1 << 22
+    HASH_BITS, MOST, PLACE_BITS = 17, 1 << 22, 16
 
     def __init__(self, alphabet: int):
         self.count = np.ones(alphabet, np.int64)
@@ -65,7 +68,7 @@ class _Model:
         if self.below[-1] > self.MOST:
             self.count = (self.count + 1) >> 1
             np.cumsum(self.count, out=self.below[1:])
-        self.total = int(self.below[-1])
+        self.total, self.guess = int(self.below[-1]), None
         seen = self.seen.reshape(2, 16, 2)
         r1, r2 = np.minimum(seen[:, :, 1] * _SHARE // seen.sum(axis=2), _SHARE - 64)
         w2 = np.broadcast_to(r2[None, :], (16, 16))
@@ -96,15 +99,35 @@ class _Model:
         mb = self.m1 + self.m2 - ma
         at = at - np.clip(at - self.below[a], 0, ma)
         at = at - np.clip(at - self.below[b], 0, mb)
-        return np.searchsorted(self.below, at, side="right") - 1
+        return self._place(at)
+
+    def _place(self, at: np.ndarray) -> np.ndarray:
+        """The last ids below which there is no more mass than ``at``: most are told by the stretch in which ``at`` lies."""
+        if self.guess is None:
+            self.shift = max(self.total.bit_length() - self.PLACE_BITS, 0)
+            self.guess = np.zeros((self.total >> self.shift) + 2, np.int64)
+            first = (self.below[:-1] + ((1 << self.shift) - 1)) >> self.shift
+            last = np.flatnonzero(np.append(first[1:] != first[:-1], True))
+            self.guess[first[last]] = last
+            np.maximum.accumulate(self.guess, out=self.guess)
+        out = self.guess[at >> self.shift]
+        rest = np.flatnonzero(self.below[out + 1] <= at)
+        if len(rest):
+            out[rest] += 1
+            rest = rest[self.below[out[rest] + 1] <= at[rest]]
+            out[rest] = np.searchsorted(self.below, at[rest], side="right") - 1
+        return out
 
     def learn(self, ids: np.ndarray) -> None:
         new = ids << 4
         for o, (x, hit) in enumerate(((self.x1, self.hit1), (self.x2, self.hit2))):
             k = x & 15
-            self.seen[o] += np.bincount(k << 1 | hit, minlength=32)
-            missed = np.where(k > 1, x - k, new) + (k >> 1)
-            self.slots[o][self.at[o]] = np.where(hit, x + (k < 15), missed)
+            how = k << 1
+            how += hit
+            self.seen[o] += np.bincount(how, minlength=32)
+            x = np.where(_STAYS[how], x - k, new)
+            x += _NEXT[how]
+            self.slots[o][self.at[o]] = x
         self.fresh.append(ids)
         self.step += 1
         if self.step < 8 or self.step % 8 == 0:
@@ -124,15 +147,15 @@ def _quotients(a: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return q + (a - q.view(np.uint64) * unit >= unit)
 
 
-def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray | None:
-    """By how many bits each lane moves, None if none does; narrows ranges that are too small and straddle a word's end."""
-    move = (low ^ (low + size)) < _TOP
-    small = size < _LEAST
-    if small.any():
-        tight = small & ~move
-        size[tight] = (~low[tight] + np.uint64(1)) & (_LEAST - np.uint64(1))
-        move |= small
-    return move.astype(np.uint64) * _W if move.any() else None
+def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The lanes that move on by a word; narrows ranges that are too small and straddle a word's end."""
+    some = np.flatnonzero(size < _TOP)  # a larger range never ends in the word in which it begins
+    at, wide = low[some], size[some]
+    move, small = (at ^ (at + wide)) < _TOP, wide < _LEAST
+    tight = small & ~move
+    if tight.any():
+        size[some[tight]] = (~at[tight] + np.uint64(1)) & (_LEAST - np.uint64(1))
+    return some[move | small]
 
 
 def encode_ids(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +173,13 @@ def encode_ids(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray,
         unit = _units(size, model.all)
         low += unit * start.view(np.uint64)
         size = unit * mass.view(np.uint64)
-        while (bits := _settle(low, size)) is not None:
-            words.append((low >> np.uint64(48)).astype(np.uint16))
-            moved.append(bits > 0)
-            low <<= bits
-            size <<= bits
+        while len(some := _settle(low, size)):
+            at = low[some]
+            words.append(word := np.zeros(lanes, np.uint16))
+            moved.append(move := np.zeros(lanes, bool))
+            word[some], move[some] = at >> np.uint64(48), True
+            low[some] = at << _W
+            size[some] <<= _W
         model.learn(now)
         last, before = now, last
     # the shortest end: one word where a whole multiple lies in the range, else two
@@ -175,12 +200,12 @@ def decode_ids(n: int, alphabet: int, counts: np.ndarray, words: np.ndarray) ->
     at = ends - counts
     words = np.concatenate([words, np.zeros(1, np.uint16)]).astype(np.uint64)
 
-    def word() -> np.ndarray:
+    def word(at: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.where(at < ends, words[np.minimum(at, len(words) - 1)], np.uint64(0))
 
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = (code << _W) | word()
+        code = (code << _W) | word(at, ends)
         at += 1
     model, low, size = _Model(alphabet), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     last = before = np.zeros(lanes, np.int64)
@@ -193,12 +218,12 @@ def decode_ids(n: int, alphabet: int, counts: np.ndarray, words: np.ndarray) ->
         start, mass = model.interval(now)
         low += unit * start.view(np.uint64)
         size = unit * mass.view(np.uint64)
-        while (bits := _settle(low, size)) is not None:
-            move = bits > 0
-            code = np.where(move, (code << _W) | word(), code)
-            at += move
-            low <<= bits
-            size <<= bits
+        while len(some := _settle(low, size)):
+            next_word = at[some]
+            code[some] = (code[some] << _W) | word(next_word, ends[some])
+            at[some] = next_word + 1
+            low[some] <<= _W
+            size[some] <<= _W
         model.learn(now)
         out[t] = now
         last, before = now, last

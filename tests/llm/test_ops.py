@@ -152,6 +152,17 @@ def test_blocks_round_trip_and_tell_damage():
     assert tokenfile.decode_block(tokenfile.encode_block([])) == []
 
 
+def test_places_are_told_by_stretches():
+    rng = np.random.default_rng(8)
+    for alphabet in (1, 2, 700, 49_000):
+        model = tokenfile._Model(alphabet)
+        for step in range(3):
+            places = np.append(rng.integers(model.total, size=5000), [0, model.total - 1])
+            assert np.array_equal(model._place(places), np.searchsorted(model.below, places, side="right") - 1)
+            model.fresh = [rng.zipf(1.2, 200_000 * step + 9).clip(max=alphabet) - 1]
+            model._sum()
+
+
 def test_token_blocks_are_smaller_than_their_order_0_entropy(spark):
     from spanloom.llm.tokens import WordEncoder
 
