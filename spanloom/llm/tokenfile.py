@@ -40,11 +40,15 @@ NO_ID = -(1 << 63)
 _TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 36)
 _W = np.uint64(16)
 _SHARE = 4096
-#: By confidence and whether it hit: whether the expected id stays, and the confidence after.
-_STAYS = np.array([hit or k > 1 for k in range(16) for hit in (False, True)])
+#: The confidence after, by confidence and whether it hit.
 _NEXT = np.array([min(k + 1, 15) if hit else k >> 1 for k in range(16) for hit in (False, True)], np.int64)
 
 
+def _at(values: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """values[index], for an index that never leaves the array: faster, as nothing is checked."""
+    return values.take(index, mode="clip")
+
+
 class _Model:
     """Predictions for all lanes of a step. A context's slot holds the id expected after it, times 16, plus a confidence."""
 
@@ -54,7 +58,7 @@ class _Model:
         self.count = np.ones(alphabet, np.int64)
         self.below = np.zeros(alphabet + 1, np.int64)
         self.slots = [np.zeros(alphabet, np.int64), np.zeros(1 << self.HASH_BITS, np.int64)]
-        self.seen = np.tile(np.array([3, 1], np.int64), (2, 16))  # by order: misses and hits at each confidence
+        self.seen = np.zeros((16, 16, 2, 2), np.int64)  # how often by both confidences and whether they hit
         self.fresh: list[np.ndarray] = []
         self.step = 0
         self._sum()
@@ -69,36 +73,57 @@ class _Model:
             self.count = (self.count + 1) >> 1
             np.cumsum(self.count, out=self.below[1:])
         self.total, self.guess = int(self.below[-1]), None
-        seen = self.seen.reshape(2, 16, 2)
+        seen = np.array([self.seen.sum(axis=(1, 3)), self.seen.sum(axis=(0, 2))]) + [3, 1]  # by order: misses and hits at each confidence
         r1, r2 = np.minimum(seen[:, :, 1] * _SHARE // seen.sum(axis=2), _SHARE - 64)
         w2 = np.broadcast_to(r2[None, :], (16, 16))
         w1 = (_SHARE - w2) * r1[:, None] // _SHARE
         w0 = np.maximum(_SHARE - w2 - w1, 16)
         self.mass1, self.mass2 = (self.total * w1 // w0).ravel(), (self.total * w2 // w0).ravel()
         self.mass = self.total + self.mass1 + self.mass2
+        self.inverse = (1 - 2.0**-50) / self.mass
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> None:
-        """Sets what the lanes expect after (before, last): ids p1 and p2, their masses m1 and m2, and all mass."""
-        self.at = [last, ((last * 0x9E3779B1) ^ (before * 0x85EBCA77)) >> 7 & ((1 << self.HASH_BITS) - 1)]
-        self.x1, self.x2 = self.slots[0][last], self.slots[1][self.at[1]]
-        self.p1, self.p2 = self.x1 >> 4, self.x2 >> 4
-        both = (self.x1 & 15) << 4 | (self.x2 & 15)
-        self.m1, self.m2, self.all = self.mass1[both], self.mass2[both], self.mass[both]
+        """Sets what the lanes expect after (before, last): ids p1 and p2 and their masses m1 and m2."""
+        at = last * 0x9E3779B1
+        at ^= before * 0x85EBCA77
+        at >>= 7
+        at &= (1 << self.HASH_BITS) - 1
+        self.at = [last, at]
+        x1, x2 = _at(self.slots[0], last), _at(self.slots[1], at)
+        self.k1, self.k2 = x1 & 15, x2 & 15
+        self.p1, self.p2 = x1 >> 4, x2 >> 4
+        self.both = self.k1 << 4
+        self.both |= self.k2
+        self.m1, self.m2 = _at(self.mass1, self.both), _at(self.mass2, self.both)
+
+    def units(self, size: np.ndarray) -> np.ndarray:
+        """A little less than size / all mass, by IEEE doubles, so that units times mass never exceeds size."""
+        unit = size.astype(np.float64)
+        unit *= _at(self.inverse, self.both)
+        return unit.astype(np.uint64)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mass below each id, mass of each id)."""
         self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
-        low = self.below[ids] + self.m1 * (self.p1 < ids) + self.m2 * (self.p2 < ids)
-        return low, self.count[ids] + self.m1 * self.hit1 + self.m2 * self.hit2
+        low, mass = _at(self.below, ids), _at(self.count, ids)
+        low += self.m1 * (self.p1 < ids)
+        low += self.m2 * (self.p2 < ids)
+        mass += self.m1 * self.hit1
+        mass += self.m2 * self.hit2
+        return low, mass
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The ids in whose intervals the places lie: places within a prediction's own mass are moved to its start."""
-        swap = self.p1 > self.p2
         a, b = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
-        ma = np.where(swap, self.m2, self.m1)
-        mb = self.m1 + self.m2 - ma
-        at = at - np.clip(at - self.below[a], 0, ma)
-        at = at - np.clip(at - self.below[b], 0, mb)
+        mb = self.m2 - self.m1
+        mb *= self.p1 <= self.p2
+        mb += self.m1
+        ma = self.m1 + self.m2
+        ma -= mb
+        for first, mass in ((a, ma), (b, mb)):
+            own = at - _at(self.below, first)
+            np.minimum(np.maximum(own, 0, out=own), mass, out=own)
+            at = at - own
         return self._place(at)
 
     def _place(self, at: np.ndarray) -> np.ndarray:
@@ -110,8 +135,8 @@ class _Model:
             last = np.flatnonzero(np.append(first[1:] != first[:-1], True))
             self.guess[first[last]] = last
             np.maximum.accumulate(self.guess, out=self.guess)
-        out = self.guess[at >> self.shift]
-        rest = np.flatnonzero(self.below[out + 1] <= at)
+        out = _at(self.guess, at >> self.shift)
+        rest = np.flatnonzero(_at(self.below, out + 1) <= at)
         if len(rest):
             out[rest] += 1
             rest = rest[self.below[out[rest] + 1] <= at[rest]]
@@ -119,26 +144,26 @@ class _Model:
         return out
 
     def learn(self, ids: np.ndarray) -> None:
-        new = ids << 4
-        for o, (x, hit) in enumerate(((self.x1, self.hit1), (self.x2, self.hit2))):
-            k = x & 15
-            how = k << 1
-            how += hit
-            self.seen[o] += np.bincount(how, minlength=32)
-            x = np.where(_STAYS[how], x - k, new)
-            x += _NEXT[how]
-            self.slots[o][self.at[o]] = x
+        how = self.both << 1
+        how += self.hit1
+        how <<= 1
+        how += self.hit2
+        self.seen += np.bincount(how, minlength=self.seen.size).reshape(self.seen.shape)
+        for slots, at, p, k, hit in zip(self.slots, self.at, (self.p1, self.p2), (self.k1, self.k2), (self.hit1, self.hit2), strict=True):
+            x = p - ids  # an id in which there is confidence stays
+            x *= k > 1
+            x += ids
+            x <<= 4
+            k <<= 1
+            k += hit
+            x += _at(_NEXT, k)
+            slots[at] = x
         self.fresh.append(ids)
         self.step += 1
         if self.step < 8 or self.step % 8 == 0:
             self._sum()
 
 
-def _units(size: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """A little less than size / mass, by IEEE doubles, so that units times mass never exceeds size."""
-    return (size.astype(np.float64) * ((1 - 2.0**-50) / mass)).astype(np.uint64)
-
-
 def _quotients(a: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """a // unit, by doubles, put right by at most one."""
     q = (a.astype(np.float64) / unit).astype(np.int64)
@@ -147,15 +172,17 @@ def _quotients(a: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return q + (a - q.view(np.uint64) * unit >= unit)
 
 
-def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The lanes that move on by a word; narrows ranges that are too small and straddle a word's end."""
-    some = np.flatnonzero(size < _TOP)  # a larger range never ends in the word in which it begins
-    at, wide = low[some], size[some]
-    move, small = (at ^ (at + wide)) < _TOP, wide < _LEAST
+def _settle(low: np.ndarray, size: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Of the lanes ``some``, those that move on by a word; narrows ranges that are too small and straddle a word's end."""
+    some = some[np.flatnonzero(_at(size, some) < _TOP)]  # a larger range never ends in the word in which it begins
+    at, wide = _at(low, some), _at(size, some)
+    small = wide < _LEAST
+    move = (at ^ (at + wide)) < _TOP
     tight = small & ~move
     if tight.any():
         size[some[tight]] = (~at[tight] + np.uint64(1)) & (_LEAST - np.uint64(1))
-    return some[move | small]
+    move |= small
+    return some[np.flatnonzero(move)]
 
 
 def encode_ids(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,20 +193,20 @@ def encode_ids(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray,
     by_step = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model, low, size = _Model(alphabet), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     last = before = np.zeros(lanes, np.int64)
-    words, moved = [], []
+    everyone, words, of = np.arange(lanes), [], []  # words as they come, and their lanes
     for now in by_step:
         model.predict(last, before)
         start, mass = model.interval(now)
-        unit = _units(size, model.all)
+        unit = model.units(size)
         low += unit * start.view(np.uint64)
-        size = unit * mass.view(np.uint64)
-        while len(some := _settle(low, size)):
-            at = low[some]
-            words.append(word := np.zeros(lanes, np.uint16))
-            moved.append(move := np.zeros(lanes, bool))
-            word[some], move[some] = at >> np.uint64(48), True
+        size = np.multiply(unit, mass.view(np.uint64), out=unit)
+        some = everyone
+        while len(some := _settle(low, size, some)):
+            at = _at(low, some)
+            words.append((at >> np.uint64(48)).astype(np.uint16))
+            of.append(some.astype(np.uint16))
             low[some] = at << _W
-            size[some] <<= _W
+            size[some] = _at(size, some) << _W
         model.learn(now)
         last, before = now, last
     # the shortest end: one word where a whole multiple lies in the range, else two
@@ -187,47 +214,45 @@ def encode_ids(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray,
     short = (one - low) < size
     cut = np.uint64((1 << 32) - 1)
     end = np.where(short, one, (low + cut) & ~cut)
-    words += [(end >> np.uint64(48)).astype(np.uint16), (end >> np.uint64(32)).astype(np.uint16)]
-    moved += [np.ones(lanes, bool), ~short]
-    moved = np.array(moved).T
-    return moved.sum(axis=1), np.array(words).T[moved]
+    words += [(end >> np.uint64(48)).astype(np.uint16), (end[~short] >> np.uint64(32)).astype(np.uint16)]
+    of += [everyone.astype(np.uint16), everyone[~short].astype(np.uint16)]
+    of = np.concatenate(of)
+    return np.bincount(of, minlength=lanes), np.concatenate(words)[np.argsort(of, kind="stable")]
 
 
 def decode_ids(n: int, alphabet: int, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     lanes = len(counts)
     steps = -(-n // lanes)
-    ends = np.cumsum(counts)
-    at = ends - counts
-    words = np.concatenate([words, np.zeros(1, np.uint16)]).astype(np.uint64)
-
-    def word(at: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return np.where(at < ends, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-
+    # a lane reads four words ahead and has one at least: three zeros follow each lane's words
+    at = np.cumsum(counts + 3) - counts - 3
+    held = np.zeros(len(words) + 3 * lanes, np.uint16)
+    held[np.arange(len(words)) + np.repeat(3 * np.arange(lanes), counts)] = words
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = (code << _W) | word(at, ends)
+        code = (code << _W) | held[at]
         at += 1
     model, low, size = _Model(alphabet), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     last = before = np.zeros(lanes, np.int64)
-    out = np.empty((steps, lanes), np.int64)
+    everyone, out = np.arange(lanes), np.empty((steps, lanes), np.uint32)
     for t in range(steps):
         model.predict(last, before)
-        unit = _units(size, model.all)
-        place = np.minimum(_quotients(code - low, unit), model.all - 1)
+        unit = model.units(size)
+        place = np.minimum(_quotients(code - low, unit), _at(model.mass, model.both) - 1)
         now = model.find(place)
         start, mass = model.interval(now)
         low += unit * start.view(np.uint64)
-        size = unit * mass.view(np.uint64)
-        while len(some := _settle(low, size)):
-            next_word = at[some]
-            code[some] = (code[some] << _W) | word(next_word, ends[some])
+        size = np.multiply(unit, mass.view(np.uint64), out=unit)
+        some = everyone
+        while len(some := _settle(low, size, some)):
+            next_word = _at(at, some)
+            code[some] = (_at(code, some) << _W) | _at(held, next_word)
             at[some] = next_word + 1
-            low[some] <<= _W
-            size[some] <<= _W
+            low[some] = _at(low, some) << _W
+            size[some] = _at(size, some) << _W
         model.learn(now)
         out[t] = now
         last, before = now, last
-    return np.ascontiguousarray(out.T).ravel()[:n].astype(np.uint32)
+    return np.ascontiguousarray(out.T).ravel()[:n]
 
 
 def encode_block(docs: list[tuple[int | None, np.ndarray]]) -> bytes:

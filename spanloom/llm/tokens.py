@@ -1,11 +1,12 @@
-"""Fast, exact use of a word-level BPE of the tokenizers library: every distinct word is encoded once.
+"""Fast, exact use of a word-level BPE of the tokenizers library: every distinct piece of a word is encoded once.
 
-Arrow splits texts at white space and numbers their distinct words, so Python meets each word once a step.
+Arrow splits texts at white space, numbers their distinct words, cuts these into pieces and numbers the distinct
+pieces, so Python meets each piece once a step, and the library each new one.
 The tokenizer of ``word_bpe_49k.json`` drops white space, and nothing in it (normal form, lower case, pattern,
 merges) looks across white space, so a text's ids are the ids of its words in a row. Of a word, a run of Latin
-letters is a match of its own; it goes straight to the library's merges. All else (other scripts, digits before
-letters, apostrophes, control characters) takes the library's whole way, and so does a text that holds the string
-of a special token.
+letters is a match of its own, told from the punctuation before and behind it; in lower case it goes straight to the
+library's merges. All else (other scripts, digits, apostrophes, control characters) is a piece as a whole and takes
+the library's whole way, and so does a text that holds the string of a special token.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 #: Letters with what the pattern matches apart from them before and behind; no apostrophe, which begins 's and the like.
-SIMPLE = re.compile(rf"([!-&(-/:-@\[-`{{-~]*)([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+SIMPLE = rf"^(?P<before>[{_MARKS}]*)(?P<core>[{_LETTERS}]+)(?P<after>[{_MARKS}]*)$"
+LETTERS = re.compile(f"[{_LETTERS}]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -33,62 +35,87 @@ def _byte_alphabet() -> dict[int, str]:
     return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
 
 
+def _rows(flat: np.ndarray, starts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches starts[i]..starts[i + 1] of ``flat`` for every i of ``index``, one behind the other, their offsets)."""
+    first = starts[index]
+    lengths = starts[index + 1] - first
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], lengths)], ends
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file. The cache of words is emptied when it holds ``max_words``."""
+    """Ids of whole texts by a tokenizers file. The cache of pieces is emptied when it holds ``max_pieces``."""
 
     #: Characters of text encoded in one step; a longer text is a step of its own.
-    STEP = 6_000_000
+    STEP = 10_000_000
+    #: Words that the library merges in one call.
+    JOINED = 10_000
 
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         #: str.split() takes 1C to 1F as white space, the tokenizer does not.
         self.odd = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *"\x1c\x1d\x1e\x1f"]
-        self.merges, self.alphabet = self.tokenizer.model, _byte_alphabet()
-        self.max_words = max_words
+        self.alphabet = _byte_alphabet() | {32: " "}
+        #: The same merges for words that are already as byte-level BPE writes them.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.max_pieces = max_pieces
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.cores: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)  # starts[i]..starts[i + 1] are the ids of word i
-        self.used = 0
+        self.starts = np.zeros(1 << 14, np.int64)  # starts[i]..starts[i + 1] are the ids of piece i
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _part(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if (ids := self.parts.get(text)) is None:
-            ids = self.parts[text] = self._library(text)
-        return ids
-
-    def _word(self, word: str) -> list[int]:
-        if not (m := SIMPLE.fullmatch(word)):
-            return self._library(word) if word else []
-        before, core, after = m.groups()
-        core = core.lower()
-        if (ids := self.cores.get(core)) is None:
-            ids = self.cores[core] = [t.id for t in self.merges.tokenize(core.translate(self.alphabet))]
-        return [*self._part(before), *ids, *self._part(after)] if before or after else ids
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of lower-case words of Latin letters, in a row, how many each has): words end with ids that say so."""
+        ids = np.array(self.merges.encode_batch_fast([" ".join(words).translate(self.alphabet)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):
+            return ids, np.diff(ends, prepend=0)
+        by_word = [*map(self._library, words)]  # a model that marks no ends
+        return np.array([*chain.from_iterable(by_word)], np.uint32), np.array([*map(len, by_word)], np.int64)
 
     def _learn(self, fresh: list[str]) -> None:
-        ids = [*map(self._word, fresh)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.known), int(lengths.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while first + len(fresh) + 1 > len(self.starts):
+        simple, rest = [], []
+        for piece in fresh:
+            (simple if LETTERS.fullmatch(piece) else rest).append(piece)
+        by_piece = [self._library(piece) if piece else [] for piece in rest]
+        parts = [self._letters(simple[lo : lo + self.JOINED]) for lo in range(0, len(simple), self.JOINED)]
+        parts.append((np.array([*chain.from_iterable(by_piece)], np.uint32), np.array([*map(len, by_piece)], np.int64)))
+        ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first, end = len(self.known), len(self.known) + len(fresh)
+        while end + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.starts[first + 1 : first + 1 + len(fresh)] = self.used + np.cumsum(lengths)
-        self.used += total
-        self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        used = self.starts[first]
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.starts[first + 1 : end + 1] = used + np.cumsum(lengths)
+        self.flat[used : used + len(ids)] = ids
+        self.known.update(zip(chain(simple, rest), range(first, end), strict=True))
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words in a row, offsets with one entry more than words)."""
+        cut = pc.extract_regex(words, SIMPLE)
+        before, core, after = (pc.struct_field(cut, k) for k in ("before", "core", "after"))
+        core = pc.if_else(cut.is_valid(), pc.utf8_lower(core), words)
+        coded, known = pa.concat_arrays([pc.fill_null(before, ""), core, pc.fill_null(after, "")]).dictionary_encode(), self.known
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(number < 0)):
+            self._learn(fresh := [pieces[i] for i in new])
+            number[new] = [*map(known.__getitem__, fresh)]
+        number = np.ascontiguousarray(number[coded.indices.to_numpy()].reshape(3, -1).T).ravel()
+        ids, ends = _rows(self.flat, self.starts, number)
+        return ids, ends[::3]
 
     def steps(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, end, their ids in a row, offsets with one entry more than texts), step by step."""
@@ -110,18 +137,11 @@ class WordEncoder:
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = {i: np.array(self._library(t), np.uint32) for i, t in enumerate(texts) if any(x in t for x in self.odd)}
-        if len(self.known) > self.max_words:
+        if len(self.known) > self.max_pieces:
             self._reset()
         words = pc.utf8_split_whitespace(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string()))
-        coded, known = words.values.dictionary_encode(), self.known
-        distinct = coded.dictionary.to_pylist()
-        if fresh := [w for w in distinct if w not in known]:
-            self._learn(fresh)
-        index = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        starts = self.starts[index]
-        lengths = self.starts[index + 1] - starts
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
+        coded = words.values.dictionary_encode()
+        ids, ends = _rows(*self._words(coded.dictionary), coded.indices.to_numpy())
         ends = ends[words.offsets.to_numpy()]
         per_text = np.diff(ends)
         if whole:

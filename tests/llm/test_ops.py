@@ -175,6 +175,39 @@ def test_token_blocks_are_smaller_than_their_order_0_entropy(spark):
     assert np.array_equal(np.concatenate([x for _, x in tokenfile.decode_block(block)]), ids)
 
 
+def test_word_ids_are_those_of_the_library():
+    from spanloom.llm.tokens import WordEncoder
+
+    rng, encoder = random.Random(3), WordEncoder(queries.word_tokenizer(), max_pieces=300)
+    parts = [*"aZé ÿßÀ×÷ªºµ'.,!-_\x00\x1c\x1f\t\n \u0085\u1680ſKİıŸ中é9²½<|/w>́\u200b\ufeff😀", "'s", "'ll", "<|endoftext|>", "</w>", "don't", "Été", "(abc)"]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.choice([1, 2, 5, 30, 100]))) for _ in range(2000))]
+    for lo in range(0, len(texts), 250):
+        ids, ends = encoder.encode(texts[lo : lo + 250])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[lo : lo + 250]]
+    encoder.last[:] = False  # as with a model that marks no ends of words
+    encoder._reset()
+    ids, _ = encoder.encode(["unmarked ends, unmarked words"])
+    assert ids.tolist() == encoder.tokenizer.encode("unmarked ends, unmarked words", add_special_tokens=False).ids
+
+
+def test_python_meets_a_word_once_in_all_its_spellings():
+    import sys
+
+    from spanloom.llm.tokens import WordEncoder
+
+    rng, encoder, calls = random.Random(4), WordEncoder(queries.word_tokenizer()), Counter()
+    words = sorted({"".join(rng.choices("aeionrst", k=9)) for _ in range(2000)})
+    text = " ".join(f"{w} {w.title()} {w}, ({w}) {w.upper()}!" for w in words)
+    expected = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        ids, _ = encoder.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == expected
+    assert calls["call"] + calls["c_call"] < 3 * len(words) + 1000  # each spelling took several calls of its own before
+
+
 # 3 chat
 
 
