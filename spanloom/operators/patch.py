@@ -6,16 +6,20 @@ many there are. What can't be done is reported site by site; it never spoils wha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import escapes
+from ..sources import inventory
 
 PATCH = "struct<site_key:string,start:bigint,end:bigint,raw:string,extractor:string,kind:string,text:string,holes:array<string>>"
-_STATUS = pa.list_(pa.struct([("site_key", pa.string()), ("status", pa.string())]))
+FIELDS = tuple(f.split(":")[0] for f in PATCH[7:-1].split(","))
+#: What is given of each file, and as what.
+OUT = "file string, text string, report array<struct<site_key:string,status:string>>"
+_OUT = {"file": pa.string(), "text": pa.string(), "report": pa.list_(pa.struct([("site_key", pa.string()), ("status", pa.string())]))}
 
 
 def _holes(text: str, holes: list[str]) -> str:
@@ -82,6 +86,13 @@ def splice(data: bytes, patches: list[dict]) -> tuple[bytes, list[dict]]:
     return b"".join([*out, data[at:]]), told
 
 
+def _patched(file: str | None, text: str | None, found: list[dict]) -> tuple:
+    """The row of ``OUT`` of a file; equal patches count once."""
+    once = {tuple(tuple(v) if isinstance(v := p[f], list) else v for f in FIELDS): p for p in found}
+    data, told = splice((text or "").encode(), [*once.values()])
+    return file, None if text is None and not found else data.decode(), sorted(told, key=lambda t: t["site_key"] or "")
+
+
 def apply_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
     """(file, text, report: array of site_key, status) of ``files`` (file, once each; text) with ``patches`` (file, and the
     fields of ``PATCH``) applied. ``start`` and ``end`` are the bytes of the value, within its quotes, ``raw`` what stands
@@ -91,15 +102,27 @@ def apply_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
     equal patches of one site count once; a site whose text was moved is found if it is there once; an empty table gives
     no rows.
     """
-    fields = [f.split(":")[0] for f in PATCH[7:-1].split(",")]
-    lists = patches.select("file", *fields).distinct().groupBy("file").agg(F.collect_list(F.struct(*fields)).alias("patches"))
+    lists = patches.groupBy("file").agg(F.collect_list(F.struct(*FIELDS)).alias("patches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                file, text, found = (c[i].as_py() for c in batch.columns)
-                data, told = splice((text or "").encode(), found or [])
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([None if text is None and not found else data.decode()], pa.string()), pa.array([sorted(told, key=lambda t: t["site_key"] or "")], _STATUS)], ["file", "text", "report"])
+        return inventory.in_batches((_patched(file, text, found or []) for file, text, found in inventory.each_file(batches)), 1, _OUT)
 
     met = files.select("file", "text").join(lists, "file", "left").select("file", "text", "patches")
-    return met.mapInArrow(run, "file string, text string, report array<struct<site_key:string,status:string>>")
+    return met.mapInArrow(run, OUT)
+
+
+def rewrite(files: DataFrame, patches_of: Callable[[list[dict]], Iterable[dict]]) -> DataFrame:
+    """``apply_patches`` where each file's patches are made of its own sites: ``patches_of`` is given the sites (fields of
+    ``inventory.SITES``) of one file and gives its patches (fields of ``PATCH``).
+
+    A file is read and spliced where it lies, so that no text is shuffled. Defined cases: those of ``apply_patches``; a null
+    text has no sites, and so no patches.
+    """
+    names = [x.split()[0] for x in inventory.SITES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for file, how, text in inventory.each_file(batches):
+            found = [dict(zip(names, row, strict=True)) for row in inventory.file_sites(file or "", how, text)] if text else []
+            yield _patched(file, text, [*patches_of(found)])
+
+    return inventory.routed(files).mapInArrow(lambda batches: inventory.in_batches(run(batches), 1, _OUT), OUT)

@@ -38,26 +38,57 @@ def file_sites(file: str, how: str, text: str) -> Iterator[tuple]:
     if "\x00" in text:
         return
     skip, at = text.startswith("﻿"), readers.Places(text)
+    tier = TIERS.get(how, "structural")
     for path, kind, a, b, value, facts in _facts(file, how, text[skip:]):
-        a, b = a + skip, b + skip
-        facts = {"tier": TIERS.get(how, "structural"), "extractor": how} | facts
-        yield (file, how, path, kind, *at.of(a, b), text[a:b], value, *(facts.get(n) or "" for n in TEXT_FACTS), *(bool(facts.get(n)) for n in FLAGS), facts.get("holes") or [])
+        a, b, told = a + skip, b + skip, facts.get
+        texts = [told(n) or "" for n in TEXT_FACTS[2:]]
+        flags = [bool(told(n)) for n in FLAGS]
+        yield (file, how, path, kind, *at.of(a, b), text[a:b], value, told("tier", tier) or "", told("extractor", how) or "", *texts, *flags, told("holes") or [])
 
 
-def sites(files: DataFrame) -> DataFrame:
-    """The sites of ``files`` (file, text, and format where it isn't to be told by the name). A null text has none."""
+def routed(files: DataFrame) -> DataFrame:
+    """(file, format, text) of ``files`` (file, text, and format where it isn't to be told by the name)."""
     kind = F.coalesce("format", readers.route(F.col("file"))) if "format" in files.columns else readers.route(F.col("file"))
-    names = [x.split()[0] for x in SITES.split(", ")]
-    types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[x.split()[1]] for x in SITES.split(", ")]
+    return files.select(F.col("file").cast("string"), kind.alias("format"), F.col("text").cast("string").alias("text"))
+
+
+def each_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, of which few are Python's at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            yield from zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True)
+
+
+def in_batches(rows: Iterator[tuple], text: int, fields: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``fields`` as batches of 10,000 at most, and of about a million characters in their field number ``text``."""
+    kept, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), fields.values(), strict=True)], [*fields])
+
+    for row in rows:
+        kept.append(row)
+        size += len(row[text] or "")
+        if len(kept) == 10_000 or size > 1_000_000:
+            yield batch()
+            kept, size = [], 0
+    if kept:
+        yield batch()
+
+
+def sites(files: DataFrame, *names: str) -> DataFrame:
+    """The sites of ``files`` (file, text, and format where it isn't to be told by the name). A null text has none.
+    ``names``: of the columns that are asked for, value among them; all if none."""
+    every = dict(x.split() for x in SITES.split(", "))
+    at = [[*every].index(n) for n in names]
+    taken = {n: every[n] for n in names or every}
+    types = {n: {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[t] for n, t in taken.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, how, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [*file_sites(file or "", how, text)] if text else []
-                for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), types, strict=True)], names)
+        found = (row for file, how, text in each_file(batches) if text for row in file_sites(file or "", how, text))
+        return in_batches((tuple(row[i] for i in at) for row in found) if at else found, [*taken].index("value"), types)
 
-    return files.select(F.col("file").cast("string"), kind.alias("format"), F.col("text").cast("string").alias("text")).mapInArrow(run, SITES)
+    return routed(files).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in taken.items()))
 
 
 def with_dual_use(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom import catalog
 from spanloom.functions import escapes
 from spanloom.operators import patch
 from spanloom.sources import inventory, listing, readers
@@ -149,3 +150,31 @@ def test_batches_equal_one_run(spark, tmp_path):
     assert show(store.sites()) == show(inventory.sites(last)) and store.sites().count() == 5
     assert incremental.Store(spark, str(tmp_path / "other")).sites().count() == 0
     assert store.rows().filter(F.col("file") == "c.md").count() == 1  # known to be gone
+
+
+def test_rewritten_files_are_those_of_a_table_of_patches(spark):
+    """Patches made of a file's own sites: as with a table of them, but nothing is shuffled."""
+    files = spark.createDataFrame([("a.json", '{"t": "one é", "n": "two"}'), ("b.po", 'msgid "x"\nmsgstr "y"\n'), ("c.tsx", "const t = `a ${x}`;\n"), ("d.txt", None), ("e.txt", "")], "file string, text string")
+
+    def patches_of(sites):
+        made = [s | {"site_key": s["file"] + s["path"], "text": s["value"] + ' "ü"'} for s in sites if s["kind"] != "key"]
+        return made + made[:1]
+
+    wanted = inventory.sites(files).filter("kind <> 'key'").select("file", F.concat("file", "path").alias("site_key"), "start", "end", "raw", "extractor", "kind", F.concat("value", F.lit(' "ü"')).alias("text"), "holes")
+    done = patch.rewrite(files, patches_of)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, done.collect())) == sorted(map(str, patch.apply_patches(files, wanted.union(wanted.limit(1))).collect()))
+
+
+def test_round_trip_of_patches_shuffles_no_text(spark):
+    for name in ("patch_round_trip", "patch_report"):
+        assert "Exchange" not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_in_any_order():
+    text = "a\né🙂b\n\n  c d\nlast"
+    for order in (range(len(text)), reversed(range(len(text))), [5, 2, 9, 9, 0, 11, 3]):
+        at = readers.Places(text)
+        for a in order:
+            before = text[:a]
+            assert at.of(a, a + 1) == (len(before.encode()), len(text[: a + 1].encode()), before.count("\n") + 1, a - before.rfind("\n"))
