@@ -13,9 +13,31 @@ from .lang_data import COGNATES, LANGUAGES, NOT_PROSE, ORTHOGRAPHY, PATH_WORDS,
 TOKEN_BREAK = r"[^\p{L}'’]+"
 
 
+#: Java's spelling of patterns whose word boundaries stand beside a word's own character, so that one look suffices; and
+#: possessive, as what follows a run is no part of it.
+QUICK = {
+    r"https?://\S+|\b[\w.-]+/[\w./-]+": r"https?://\S++|(?:(?<!\w)\w|(?<=\w)[.-])[\w.-]*+/[\w./-]++",
+    r"\b[a-z]+[A-Z]\w*": r"(?<!\w)[a-z]++[A-Z]\w*+",
+    r"\b[A-Z][A-Z0-9_]{2,}\b": r"[A-Z](?<!\w[A-Z])[A-Z0-9_]{2,}+(?!\w)",
+    r"\b\w+[_-]\w+\b": r"(?<!\w)\w+[_-]\w++",
+    r"\b\w+(?:\.\w+)+\b": r"(?<!\w)\w++(?:\.\w++)++",
+}
+
+#: What every match of a pattern holds; a text without it isn't searched.
+MARKS = {r"\{\d+\}": "{", r"\{\{[^}]*\}\}": "{{", r"%[sd@]|%\d+\$[sd@]": "%", r"https?://\S+|\b[\w.-]+/[\w./-]+": "/", r"`[^`]*`": "`", r"<[^>]+>": "<"}
+
+
 def normalized(text: Column) -> Column:
     """What a person reads: placeholders, addresses, code and numbers become spaces."""
-    out = reduce(lambda c, p: rx.replace_all(c, p, " "), NOT_PROSE, text)
+
+    def blanked(c: Column, p: str) -> Column:
+        replaced = lambda x: F.regexp_replace(x, QUICK[p], " ") if p in QUICK else rx.replace_all(x, p, " ")
+        if p not in MARKS:
+            return replaced(c)
+        # the element of a list, so that the text so far is made once
+        return F.get(F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit(MARKS[p])), replaced(x)).otherwise(x)), F.lit(0))
+
+    out = reduce(blanked, NOT_PROSE, text)
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
@@ -50,7 +72,7 @@ def detect_columns(df, text: str, candidates=LANGUAGES, prefix: str = ""):
     """
     p = prefix
     df = df.withColumn("_norm", normalized(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumns({f"{p}letters": F.regexp_count("_norm", F.lit(r"\p{L}")).cast("long"), "_tokens": F.filter(F.split(F.lower("_norm"), TOKEN_BREAK), lambda t: t != "")})
+    df = df.withColumns({f"{p}letters": F.length(F.regexp_replace("_norm", r"\P{L}+", "")).cast("long"), "_tokens": F.filter(F.split(F.lower("_norm"), TOKEN_BREAK), lambda t: t != "")})
     # most tokens are no stopword of any language, and are looked at once
     every = sorted({w for lang in candidates for w in STOPWORDS[lang].split()})
     df = df.withColumn("_known", F.filter("_tokens", lambda t: t.isin(every)))

@@ -6,7 +6,7 @@ as absent. Detection columns (letters, bucket, detected, confidence) are taken f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lang, shapes
@@ -110,7 +110,9 @@ def classify(sites: DataFrame, source: str, target: str) -> DataFrame:
 
 def harmonise(sites: DataFrame) -> DataFrame:
     """Arms of one branch move together: where one is to be translated, those refused by detection alone are too."""
-    groups = sites.filter("branch_group is not null").groupBy("file", "branch_group").agg(F.max((F.col("verdict") == "translate").cast("int")).alias("any_translate"))
-    met = sites.join(groups, ["file", "branch_group"], "left")
+    translated = F.max((F.col("verdict") == "translate").cast("int")).over(Window.partitionBy("file", "branch_group"))
+    arms = sites.filter("branch_group is not null and file is not null").withColumn("any_translate", translated)
+    # what belongs to no branch, most texts, stays where it is
+    met = sites.filter("branch_group is null or file is null").withColumn("any_translate", F.lit(None).cast("int")).unionByName(arms)
     follows = (F.col("any_translate") == 1) & F.col("reason").isin("short-string", "ambiguous-role", "no-rule")
     return met.withColumns({"harmonised": F.coalesce(follows, F.lit(False)), "verdict": F.when(follows, "translate").otherwise(F.col("verdict"))}).drop("any_translate")

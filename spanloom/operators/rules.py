@@ -40,6 +40,11 @@ def _needs(rule: dict[str, str]) -> str | None:
     return words[1] if words[:1] == ["needs"] else None
 
 
+def needs(rules: list[dict[str, str]]) -> list[str]:
+    """The pointers that rules ask of a file."""
+    return sorted({p for r in rules if (p := _needs(r))})
+
+
 def _holds(rule: dict[str, str], fact: dict[str, Column], needed: dict[str, Column]) -> Column:
     files = [g for x in rule["files"].split() for g in (VENDORED.split() if x == "~" else [x])]
     met, words = glob_filter(fact["file"], files), rule["pattern"].split()
@@ -58,10 +63,14 @@ def _holds(rule: dict[str, str], fact: dict[str, Column], needed: dict[str, Colu
 
 
 def match_rules(sites: DataFrame, rules: list[dict[str, str]] | None = None) -> DataFrame:
-    """``sites`` with rule, rule_surface, rule_verdict, rule_reason and rule_hard (see ``classify.FACTS``)."""
+    """``sites`` with rule, rule_surface, rule_verdict, rule_reason and rule_hard (see ``classify.FACTS``). held, if it is
+    there, are the pointers that a site's file holds, and is dropped; else they are found by a join."""
     rules = rules if rules is not None else catalog()
     out, needed = sites.drop(*OUT), {}
-    for i, pointer in enumerate(sorted({p for r in rules if (p := _needs(r))})):
+    for i, pointer in enumerate(needs(rules)):
+        if "held" in sites.columns:
+            needed[pointer] = F.coalesce(F.array_contains("held", pointer), F.lit(False))
+            continue
         holders = sites.filter(F.col("path") == pointer).select("file").distinct().withColumn(f"_needs{i}", F.lit(True))
         out = out.join(holders, "file", "left")
         needed[pointer] = F.coalesce(F.col(f"_needs{i}"), F.lit(False))
@@ -75,12 +84,12 @@ def match_rules(sites: DataFrame, rules: list[dict[str, str]] | None = None) ->
     none = F.lit(None).cast("struct<rule:string,surface:string,verdict:string,reason:string,hard:boolean>")
     hit = first_match([(_holds(r, fact, needed), says(r)) for r in rules], none)
     out = out.withColumn("_hit", hit)
-    kept = [c for c in sites.columns if c not in OUT]
+    kept = [c for c in sites.columns if c not in (*OUT, "held")]
     return out.select(*kept, *(F.col(f"_hit.{n.removeprefix('rule_')}").alias(n) for n in OUT))
 
 
 def verdicts(files: DataFrame, source: str, target: str, rules: list[dict[str, str]] | None = None) -> DataFrame:
     """Files to verdicts in one plan: readers, container facts, dual use, rules, language, cascade and harmonised branches."""
-    found = inventory.with_dual_use(inventory.sites(files))
-    decided = classify.classify(match_rules(found, rules), source, target)
-    return classify.harmonise(decided.withColumn("branch_group", F.nullif("branch_group", F.lit(""))))
+    rules = rules if rules is not None else catalog()
+    found = inventory.sites_with_dual_use(files, needs(rules)).withColumn("branch_group", F.nullif("branch_group", F.lit("")))
+    return classify.harmonise(classify.classify(match_rules(found, rules), source, target))

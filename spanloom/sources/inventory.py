@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,13 +77,18 @@ def in_batches(rows: Iterator[tuple], text: int, fields: dict[str, pa.DataType])
         yield batch()
 
 
+def site_types() -> dict[str, pa.DataType]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return {n: kinds[t] for n, t in (x.split() for x in SITES.split(", "))}
+
+
 def sites(files: DataFrame, *names: str) -> DataFrame:
     """The sites of ``files`` (file, text, and format where it isn't to be told by the name). A null text has none.
     ``names``: of the columns that are asked for, value among them; all if none."""
     every = dict(x.split() for x in SITES.split(", "))
     at = [[*every].index(n) for n in names]
     taken = {n: every[n] for n in names or every}
-    types = {n: {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[t] for n, t in taken.items()}
+    types = {n: site_types()[n] for n in taken}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (row for file, how, text in each_file(batches) if text for row in file_sites(file or "", how, text))
@@ -102,6 +108,38 @@ def with_dual_use(found: DataFrame) -> DataFrame:
     return met.withColumn("dual_use", F.coalesce("_dual", F.lit(False)) & ~origin).drop("_v", "_dual")
 
 
+_ORIGINS = ("enum_member", "compared", "persisted")
+
+
+def sites_with_dual_use(files: DataFrame, pointers: Iterable[str] = ()) -> DataFrame:
+    """``with_dual_use`` of the sites of ``files``, with held: those of ``pointers`` that are paths of the file's sites.
+
+    Values meet by digests of 128 bits alone, and a file's text is shuffled once, not each of its sites' values. Files are
+    read for that once more than for the sites.
+    """
+    pointers = [*pointers]
+    origin = F.col("enum_member") | F.col("compared") | F.col("persisted")
+    held = F.when(F.col("path").isin(*pointers) & F.col("file").isNotNull(), F.col("path")) if pointers else F.lit(None).cast("string")
+    marks = sites(files, "file", "path", "value", *_ORIGINS).select(F.coalesce("file", F.lit("")).alias("_f"), F.unhex(F.md5("value")).alias("_k"), origin.alias("_o"), held.alias("_p"))
+    marks = marks.groupBy("_f", "_k").agg(F.max("_o").alias("_is"), F.min("_o").alias("_all"), F.collect_set("_p").alias("_p"))
+    both = marks.groupBy("_k").agg(F.max("_is").alias("_is"), F.min("_all").alias("_all")).filter("_is and not _all").select("_k", F.lit(True).alias("_both"))
+    dual = F.when(F.col("_both") & ~F.col("_all"), F.col("_k"))
+    told = marks.join(both, "_k", "left").withColumn("_k", dual).filter("_k is not null or size(_p) > 0")
+    told = told.groupBy("_f").agg(F.collect_set("_k").alias("_duals"), F.flatten(F.collect_set("_p")).alias("held"))
+    met = routed(files).withColumn("_f", F.coalesce("file", F.lit(""))).join(told, "_f", "left").select("file", "format", "text", "_duals", "held")
+    every = [x.split()[0] for x in SITES.split(", ")]
+    value, flags = every.index("value"), [every.index(n) for n in _ORIGINS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for file, how, text, duals, held in each_file(batches):
+            keys, held = {*(duals or ())}, (held or []) if file is not None else []
+            for row in file_sites(file or "", how, text) if text else ():
+                yield (*row, bool(keys) and not any(row[i] for i in flags) and hashlib.md5(row[value].encode("utf-8", "surrogatepass")).digest() in keys, held)
+
+    types = site_types() | {"dual_use": pa.bool_(), "held": pa.list_(pa.string())}
+    return met.mapInArrow(lambda batches: in_batches(run(batches), value, types), f"{SITES}, dual_use boolean, held array<string>")
+
+
 def identifiers(files: DataFrame) -> DataFrame:
     """(word) the names that files declare: of scripts, keys, style classes, and segments of paths; once each."""
     classes = re.compile(r"[.#](-?[A-Za-z_][\w-]*)|\b(?:class|id)=[\"']([^\"']*)[\"']").finditer

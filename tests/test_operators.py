@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
 
-from spanloom.functions import cldr, identity
+from spanloom.functions import cldr, identity, lang, lang_data, rx
 from spanloom.operators import plural, reconcile, spans
 from spanloom.sources import tables
 
@@ -104,3 +105,17 @@ def test_rules_that_need_a_pointer_in_the_file(spark):
     assert out["LICENSE", None] == ("legal.vendored-verbatim", True)
     assert out[None, "/description"] == (None, None)
     assert len({r["rule"] for r in rules.catalog()}) == 20
+
+
+def test_quick_spellings_blank_what_the_patterns_do(spark):
+    """Patterns that begin or end beside a word's own character, and marks without which a text isn't searched."""
+    rng = random.Random(7)
+    parts = [*"aBcZ09_-./é🙂ß ñ{}%<>`:\n\t", "{0}", "{{x}}", "%s", "%1$d", "http://", "`a`", "<b>", "aB", "ABC", "a_b", "a.b"]
+    df = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))),) for _ in range(3000)], "v string")
+    plain = F.col("v")
+    for p in lang_data.NOT_PROSE:
+        plain = rx.replace_all(plain, p, " ")
+    assert {*lang.QUICK, *lang.MARKS} <= {*lang_data.NOT_PROSE}
+    assert df.filter(lang.normalized(F.col("v")) != F.trim(F.regexp_replace(plain, r"\s+", " "))).isEmpty()
+    # far less work than one look at every place: each quick spelling is used
+    assert "(?<!\\w)[a-z]++[A-Z]\\w*+" in df.select(lang.normalized(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()

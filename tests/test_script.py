@@ -6,8 +6,10 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanloom.sources import readers
+from spanloom import catalog
+from spanloom.sources import inventory, readers
 from spanloom.sources.script import comment_body, identifiers, script_spans
 
 PAGE = r"""
@@ -198,3 +200,20 @@ def test_dual_use_tells_text_from_its_enumeration(spark):
 
     df = spark.createDataFrame([("a.ts", "type S = 'done' | 'open'"), ("b.tsx", "<b>done</b>"), ("c.ts", "if (x === 'late') f('early')")], "file string, text string")
     assert {(r.value, r.dual_use) for r in inventory.with_dual_use(inventory.sites(df)).collect()} == {("done", False), ("done", True), ("open", False), ("late", False), ("early", False)}
+
+
+def test_dual_use_by_digests_is_that_by_values(spark):
+    files = [("a.ts", 'if (k === "done") f("open", "late");\n'), ("b.tsx", 'const t = "done";\nenum E { A = "open" }\n'), (None, 'x = "done"; y = "é 🙂";'), ("c.ts", None), ("d.json", '{"manifest_version": "late"}'), ("b.tsx", 'const u = "open";'), ("e.ts", 'localStorage.setItem("é 🙂", "v");\n')]
+    df = spark.createDataFrame(files, "file string, text string")
+    df = df.withColumn("format", F.when(F.col("file").isNull(), "script"))
+    old, new = inventory.with_dual_use(inventory.sites(df)), inventory.sites_with_dual_use(df, ["/manifest_version"])
+    row = ("file", "path", "value", "start", "dual_use")
+    assert sorted(map(str, new.select(*row).collect())) == sorted(map(str, old.select(*row).collect()))
+    assert new.filter("dual_use").count() > 2
+    assert {r.file for r in new.filter("size(held) > 0").collect()} == {"d.json"}
+
+
+def test_verdicts_shuffle_no_values(spark):
+    """Values are met by digests, and what no branch holds isn't shuffled with its text."""
+    plan = catalog.queries()["inventory_verdicts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(value" not in plan and plan.count("Exchange hashpartitioning(file") <= 1
